@@ -156,83 +156,90 @@ def _candle_formulas() -> dict[str, str]:
     }
 
 
-def _std(x: str, w: int) -> str:
-    return f"sqrt(`{x}__q{w}` / {w - 1}D)"
-
-
-def _corr(x: str, y: str, w: int) -> str:
-    return f"try_divide(`{x}~{y}__p{w}`, sqrt(`{x}__q{w}`) * sqrt(`{y}__q{w}`))"
-
-
-def _beta(w: int) -> str:
-    return f"try_divide(`ret~market_ret__p{w}` / {w - 1}D, `market_ret__q{w}` / {w - 1}D + {EPS})"
-
-
 def _quantile(w: int, p: float) -> str:
     pos = p * (w - 1)
-    low = int(pos)
+    low = int(pos + 1e-9)
     part = pos - low
     if part < 1e-9:
-        return f"element_at(sorted{w}, {low + 1})"
-    return (f"(element_at(sorted{w}, {low + 1}) + {part!r}D * "
-            f"(element_at(sorted{w}, {low + 2}) - element_at(sorted{w}, {low + 1})))")
-
-
-def _family_formula(family: str, w: int) -> str:
-    gains, losses = f"`gain__s{w}`", f"`loss__s{w}`"
-    vgains, vlosses = f"`vgain__s{w}`", f"`vloss__s{w}`"
-    move, vmove = f"({gains} + {losses} + {EPS})", f"({vgains} + {vlosses} + {EPS})"
-    mean_c, mean_v, mean_cv = f"`c__a{w}`", f"`volume__a{w}`", f"`cv__a{w}`"
-    up, down = f"`up__s{w}`", f"`down__s{w}`"
-    first_high = f"(`high__xi{w}` - row_no + {w}) / {w}D"
-    first_low = f"(`low__ni{w}` - row_no + {w}) / {w}D"
-    past = f"`c__ago{w}`"
-    mom = f"try_divide(`ret__a{w}`, {_std('ret', w)} + {EPS})"
+        return f"sorted{w}[{low}]"
+    return f"(sorted{w}[{low}] + {part!r}D * (sorted{w}[{low + 1}] - sorted{w}[{low}]))"
+
+
+def _ranked_formula(family: str, w: int) -> str:
+    if family in ("QTLU", "QTLD"):
+        return f"try_divide({_quantile(w, 0.8 if family == 'QTLU' else 0.2)}, c)"
     below = f"(array_position(sorted{w}, c) - 1)"
     above = f"(array_position(reverse(sorted{w}), c) - 1)"
-    return {
-        "ROC": f"try_divide({past}, c)",
-        "MA": f"try_divide({mean_c}, c)",
-        "STD": f"try_divide({_std('c', w)}, c)",
-        "BETA": _beta(w),
-        "RSQR": f"pow({_corr('ret', 'market_ret', w)}, 2)",
-        "RESI": _std(f"resid{w}", w),
-        "MAX": f"try_divide(`high__x{w}`, c)",
-        "MIN": f"try_divide(`low__n{w}`, c)",
-        "QTLU": f"try_divide({_quantile(w, 0.8)}, c)",
-        "QTLD": f"try_divide({_quantile(w, 0.2)}, c)",
-        "RANK": f"({below} + ({w} - {below} - {above} + 1) / 2D) / {w}D",
-        "RSV": f"try_divide(c - `c__n{w}`, `c__x{w}` - `c__n{w}` + {EPS})",
-        "IMAX": first_high,
-        "IMIN": first_low,
-        "IMXD": f"{first_high} - {first_low}",
-        "CORR": _corr("c", "lv", w),
-        "CORD": _corr("dc", "dlv", w),
-        "CNTP": f"{up} / {w}D",
-        "CNTN": f"{down} / {w}D",
-        "CNTD": f"{up} / {w}D - {down} / {w}D",
-        "SUMP": f"try_divide({gains}, {move})",
-        "SUMN": f"try_divide({losses}, {move})",
-        "SUMD": f"try_divide({gains}, {move}) - try_divide({losses}, {move})",
-        "VMA": f"try_divide({mean_v}, volume)",
-        "VSTD": f"try_divide({_std('volume', w)}, volume)",
-        "WVMA": f"try_divide({_std('cv', w)}, {mean_cv} + {EPS})",
-        "VSUMP": f"try_divide({vgains}, {vmove})",
-        "VSUMN": f"try_divide({vlosses}, {vmove})",
-        "VSUMD": f"try_divide({vgains}, {vmove}) - try_divide({vlosses}, {vmove})",
-        "RET": f"try_divide(c, {past}) - 1",
+    return f"({below} + ({w} - {below} - {above} + 1) / 2D) / {w}D"
+
+
+def _beta(blocks: RollingBlocks, w: int) -> str:
+    return (f"try_divide({blocks.ref('p', 'ret~market_ret', w)} / {w - 1}D, "
+            f"{blocks.ref('q', 'market_ret', w)} / {w - 1}D + {EPS})")
+
+
+def _family_formula(blocks: RollingBlocks, family: str, w: int) -> str:
+    def mean(x: str) -> str:
+        return blocks.ref("a", x, w)
+
+    def std(x: str) -> str:
+        return f"sqrt({blocks.ref('q', x, w)} / {w - 1}D)"
+
+    def total(x: str) -> str:
+        return blocks.ref("s", x, w)
+
+    def corr(x: str, y: str) -> str:
+        return (f"try_divide({blocks.ref('p', f'{x}~{y}', w)}, "
+                f"sqrt({blocks.ref('q', x, w)}) * sqrt({blocks.ref('q', y, w)}))")
+
+    def share(x: str, y: str) -> str:
+        return f"try_divide({total(x)}, {total(x)} + {total(y)} + {EPS})"
+
+    def first_hit(kind: str, x: str) -> str:
+        return f"({blocks.ref(kind, x, w)} - row_no + {w}) / {w}D"
+
+    def mom() -> str:
+        return f"try_divide({mean('ret')}, {std('ret')} + {EPS})"
+
+    makers = {
+        "MA": lambda: f"try_divide({mean('c')}, c)",
+        "STD": lambda: f"try_divide({std('c')}, c)",
+        "BETA": lambda: _beta(blocks, w),
+        "RSQR": lambda: f"pow({corr('ret', 'market_ret')}, 2)",
+        "MAX": lambda: f"try_divide({blocks.ref('x', 'high', w)}, c)",
+        "MIN": lambda: f"try_divide({blocks.ref('n', 'low', w)}, c)",
+        "RSV": lambda: (f"try_divide(c - {blocks.ref('n', 'c', w)}, "
+                        f"{blocks.ref('x', 'c', w)} - {blocks.ref('n', 'c', w)} + {EPS})"),
+        "IMAX": lambda: first_hit("xi", "high"),
+        "IMIN": lambda: first_hit("ni", "low"),
+        "IMXD": lambda: f"{first_hit('xi', 'high')} - {first_hit('ni', 'low')}",
+        "CORR": lambda: corr("c", "lv"),
+        "CORD": lambda: corr("dc", "dlv"),
+        "CNTP": lambda: f"{total('up')} / {w}D",
+        "CNTN": lambda: f"{total('down')} / {w}D",
+        "CNTD": lambda: f"{total('up')} / {w}D - {total('down')} / {w}D",
+        "SUMP": lambda: share("gain", "loss"),
+        "SUMN": lambda: share("loss", "gain"),
+        "SUMD": lambda: f"{share('gain', 'loss')} - {share('loss', 'gain')}",
+        "VMA": lambda: f"try_divide({mean('volume')}, volume)",
+        "VSTD": lambda: f"try_divide({std('volume')}, volume)",
+        "WVMA": lambda: f"try_divide({std('cv')}, {mean('cv')} + {EPS})",
+        "VSUMP": lambda: share("vgain", "vloss"),
+        "VSUMN": lambda: share("vloss", "vgain"),
+        "VSUMD": lambda: f"{share('vgain', 'vloss')} - {share('vloss', 'vgain')}",
         "MOM": mom,
-        "DD": f"try_divide(c, `c__x{w}` + {EPS}) - 1",
-        "UPR": f"try_divide({up}, {down} + {EPS})",
-        "DNR": f"{down} / {w}D",
-        "SHARPE": f"{mom} * sqrt(252D)",
-        "VOLZ": f"try_divide(volume - {mean_v}, {_std('volume', w)} + {EPS})",
-        "TURN": f"try_divide(volume, {mean_v} + {EPS})",
-        "AMTMA": f"try_divide({mean_cv}, cv + {EPS})",
-        "ILLIQ": f"try_divide(`aret__s{w}` / {w}D, {mean_cv} + {EPS})",
-        "PVCHG": _corr("ret", "vp", w),
-        "RELV": f"`rel__s{w}`",
-    }[family]
+        "SHARPE": lambda: f"{mom()} * sqrt(252D)",
+        "DD": lambda: f"try_divide(c, {blocks.ref('x', 'c', w)} + {EPS}) - 1",
+        "UPR": lambda: f"try_divide({total('up')}, {total('down')} + {EPS})",
+        "DNR": lambda: f"{total('down')} / {w}D",
+        "VOLZ": lambda: f"try_divide(volume - {mean('volume')}, {std('volume')} + {EPS})",
+        "TURN": lambda: f"try_divide(volume, {mean('volume')} + {EPS})",
+        "AMTMA": lambda: f"try_divide({mean('cv')}, cv + {EPS})",
+        "ILLIQ": lambda: f"try_divide({total('aret')} / {w}D, {mean('cv')} + {EPS})",
+        "PVCHG": lambda: corr("ret", "vp"),
+        "RELV": lambda: total("rel"),
+    }
+    return makers[family]()
 
 
 # Which rolling states each family reads.
@@ -259,6 +266,8 @@ _NEEDS: dict[str, dict[str, list]] = {
     "PVCHG": {"means": ["ret", "vp"], "pairs": [("ret", "vp")]},
     "RELV": {"sums": ["rel"]}, "ROC": {}, "RET": {},
 }
+_RANKED = ("QTLU", "QTLD", "RANK")
+_LATE = ("RESI", *_RANKED)
 
 
 def _ladder(windows: Iterable[int]) -> list[int]:
@@ -274,48 +283,72 @@ def factor_frame(bars: DataFrame, market: DataFrame | None = None, *, names: Seq
     ``zero_fill=False`` keeps null for windows that are not full. One exchange on ``code``.
     """
     names = list(names) if names is not None else [*factor_names(windows), *_CUSTOM]
-    rolled = {n: (f, w) for w in windows for f in FAMILIES if (n := f"{f}{w}") in names}
+    rolled = {n: (f, w) for w in windows for f in FAMILIES if (n := f"{f}{w}") in set(names)}
     frame = rows_window()
-
     df = _base_series(align_market(clean_bars(bars), market, fill), fill)
-    if rolled:
-        need: dict[str, list] = {"means": [], "pairs": [], "sums": [], "highs": [], "lows": []}
-        up_to: dict[str, int] = {}
-        for family, w in rolled.values():
-            for kind, series in _NEEDS[family].items():
-                for s in series:
-                    if s not in need[kind]:
-                        need[kind].append(s)
-        used = [w for _, w in rolled.values()]
-        if any(need.values()):
-            df = RollingBlocks(up_to=up_to, **need).add(df, _ladder(used))
-        resid = sorted({w for f, w in rolled.values() if f == "RESI"})
-        if resid:
-            df = df.withColumns({f"resid{w}": F.expr(f"ret - {_beta(w)} * market_ret") for w in resid})
-            df = RollingBlocks(means=[f"resid{w}" for w in resid],
-                               up_to={f"resid{w}": w for w in resid}).add(df, _ladder(resid))
-        ago = sorted({w for f, w in rolled.values() if f in ("ROC", "RET")})
-        ranked = sorted({w for f, w in rolled.values() if f in ("QTLU", "QTLD", "RANK")})
-        extra = {f"c__ago{w}": F.lag("c", w).over(frame) for w in ago}
-        if ranked:
-            extra["recent"] = F.collect_list("c").over(frame.rowsBetween(-(max(ranked) - 1), 0))
-        if extra:
-            df = df.withColumns(extra)
-        if ranked:
-            df = df.withColumns({
-                f"sorted{w}": F.expr(f"CASE WHEN c__a{w} IS NOT NULL THEN sort_array(slice(recent, -{w}, {w})) END")
-                for w in ranked})
-
-    formulas = {n: f for n, f in _candle_formulas().items() if n in names}
-    formulas |= {n: _family_formula(f, w) for n, (f, w) in rolled.items()}
-    raw = {n: F.expr(f) for n, f in formulas.items()}
+    out: dict[str, Column] = {n: F.expr(f) for n, f in _candle_formulas().items() if n in names}
     columns = {c: F.col(c) for c in ("open", "high", "low", "close", "volume", "amount", "ret", "market_ret")}
-    raw |= {n: make(columns) for n, make in _CUSTOM.items() if n in names}
+    out |= {n: make(columns) for n, make in _CUSTOM.items() if n in names}
+
+    need: dict[str, list] = {"means": [], "pairs": [], "sums": [], "highs": [], "lows": []}
+    for family, _ in rolled.values():
+        for kind, series in _NEEDS[family].items():
+            need[kind] += [s for s in series if s not in need[kind]]
+    if any(need.values()):
+        blocks = RollingBlocks(**need)
+        in_level = {n: (f, w) for n, (f, w) in rolled.items() if f in _NEEDS and _NEEDS[f] and f not in _LATE}
+
+        def finish_level(level: DataFrame, w: int) -> DataFrame:
+            """Pack the level's factors into one array column before the next window node."""
+            here = [n for n, (_, v) in in_level.items() if v == w]
+            added = {}
+            if here:
+                added[f"made{w}"] = F.expr(
+                    "array(" + ", ".join(_family_formula(blocks, rolled[n][0], w) for n in here) + ")")
+                for place, n in enumerate(here):
+                    out[n] = F.expr(f"made{w}[{place}]")
+            if (("RESI", w)) in rolled.values():
+                added[f"resid{w}"] = F.expr(f"ret - {_beta(blocks, w)} * market_ret")
+            if any(f in _RANKED and v == w for f, v in rolled.values()):
+                added[f"full{w}"] = F.expr(f"{blocks.ref('a', 'c', w)} IS NOT NULL")
+            return level.withColumns(added) if added else level
+
+        df = blocks.add(df, _ladder(w for _, w in rolled.values()), after_level=finish_level)
+
+    resid = sorted({w for f, w in rolled.values() if f == "RESI"})
+    if resid:
+        second_pass = RollingBlocks(means=[f"resid{w}" for w in resid])
+
+        def finish_resid(level: DataFrame, w: int) -> DataFrame:
+            if w not in resid:
+                return level
+            spread = second_pass.ref("q", f"resid{w}", w)
+            return level.withColumn(f"resi{w}", F.expr(f"sqrt({spread} / {w - 1}D)"))
+
+        df = second_pass.add(df, _ladder(resid), after_level=finish_resid)
+        out |= {f"RESI{w}": F.col(f"resi{w}") for w in resid}
+
+    late: dict[str, Column] = {}
+    for n, (family, w) in rolled.items():
+        if family in ("ROC", "RET"):
+            late[f"ago{w}"] = F.lag("c", w).over(frame)
+            out[n] = F.expr(f"try_divide(ago{w}, c)" if family == "ROC" else f"try_divide(c, ago{w}) - 1")
+    ranked = sorted({w for f, w in rolled.values() if f in _RANKED})
+    if ranked:
+        late["recent"] = F.collect_list("c").over(frame.rowsBetween(-(max(ranked) - 1), 0))
+    if late:
+        df = df.withColumns(late)
+    if ranked:
+        df = df.withColumns({
+            f"sorted{w}": F.expr(f"CASE WHEN full{w} THEN sort_array(slice(recent, -{w}, {w})) END")
+            for w in ranked}).drop("recent")
+        out |= {n: F.expr(_ranked_formula(f, w)) for n, (f, w) in rolled.items() if f in _RANKED}
+
     carried = ["code", "trade_date", *[k for k in keep if k not in ("code", "trade_date")]]
-    df = df.select(*carried, *[raw[n].alias(n) for n in names if n in raw])
+    df = df.select(*carried, *[out[n].alias(n) for n in names if n in out])
     if not zero_fill:
         return df
-    return df.select(*carried, *[finite_or(n).alias(n) for n in names if n in raw])
+    return df.select(*carried, *[finite_or(n).alias(n) for n in names if n in out])
 
 
 def latest_factors(factors: DataFrame) -> DataFrame:

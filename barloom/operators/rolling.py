@@ -17,8 +17,7 @@ Rows per instrument are unique by date, so a window partition is bounded by the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,89 +78,100 @@ def split_overlapping(size: int, known: Sequence[int]) -> list[tuple[int, int]]:
     return blocks
 
 
-def state(series: str, kind: str, w: int) -> str:
-    """Column that holds a state; the window of one row is the series itself."""
-    return series if w == 1 and kind in ("a", "s", "x", "n") else f"{series}__{kind}{w}"
-
-
-@dataclass
 class RollingBlocks:
-    """Which rolling states to keep, per series.
+    """Rolling states of many series over a ladder of windows.
 
-    ``means`` gives ``__a`` (mean) and ``__q`` (sum of squared deviations), ``pairs`` gives
-    ``x~y__p`` (co-deviation), ``sums`` gives ``__s``, ``highs``/``lows`` give ``__x``/``__n``
-    and the row number of their first hit in ``__xi``/``__ni``.
-    """
+    ``means`` keep mean (``a``) and sum of squared deviations (``q``), ``pairs`` the
+    co-deviation (``p``), ``sums`` the sum (``s``), ``highs``/``lows`` the extreme
+    (``x``/``n``) and the row number of its first hit (``xi``/``ni``).
 
-    means: list[str] = field(default_factory=list)
-    pairs: list[tuple[str, str]] = field(default_factory=list)
-    sums: list[str] = field(default_factory=list)
-    highs: list[str] = field(default_factory=list)
-    lows: list[str] = field(default_factory=list)
-    up_to: dict[str, int] = field(default_factory=dict)
-    row_number: str = "row_no"
-
-    def _wanted(self, series: str, w: int) -> bool:
-        return w <= self.up_to.get(series, w)
+    All states of a window travel in two array columns, so a level needs one ``lag`` per
+    block whatever the number of series, and rows stay narrow between the window nodes.
+    ``ref(kind, series, w)`` is the SQL text that reads a state back.
+    """
 
-    def add(self, df: DataFrame, windows: Iterable[int], *, by="code", order="trade_date") -> DataFrame:
+    def __init__(self, means: Sequence[str] = (), pairs: Sequence[tuple[str, str]] = (),
+                 sums: Sequence[str] = (), highs: Sequence[str] = (), lows: Sequence[str] = (),
+                 row_number: str = "row_no"):
+        self.row_number = row_number
+        self.pairs = list(pairs)
+        self.first = ([("a", x) for x in means] + [("s", x) for x in sums]
+                      + [("x", x) for x in highs] + [("n", x) for x in lows])
+        self.second = ([("q", x) for x in means] + [("p", f"{x}~{y}") for x, y in pairs]
+                       + [("xi", x) for x in highs] + [("ni", x) for x in lows])
+
+    def ref(self, kind: str, series: str, w: int, lag: int = 0) -> str:
+        if (kind, series) in self.first:
+            place, column = self.first.index((kind, series)), f"first{w}"
+        else:
+            place, column = self.second.index((kind, series)), f"second{w}"
+        if lag:
+            column += f"_lag{lag}"
+        return f"{column}[{place}]"
+
+    def add(self, df: DataFrame, windows: Iterable[int], *, by="code", order="trade_date",
+            after_level: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+        """Compute the ladder. ``after_level`` may add columns that read the states of the
+        level just finished; states no longer needed are dropped on the way."""
         frame = rows_window(by, order)
-        known = [1]
-        for w in sorted(set(windows)):
-            if w == 1:
-                continue
-            df = self._level(df, w, known, frame)
+        ladder = sorted(set(windows) - {1})
+        plans, known = {}, [1]
+        for w in ladder:
+            plans[w] = (split_into_blocks(w, known), split_overlapping(w, known))
             known.append(w)
+        df = df.withColumn("first1", F.expr("array(" + ", ".join(f"`{x}`" for _, x in self.first) + ")"))
+        for place, w in enumerate(ladder):
+            df = self._level(df, w, *plans[w], frame)
+            if after_level:
+                df = after_level(df, w)
+            later = {b for v in ladder[place + 1:] for blocks in plans[v] for b, _ in blocks}
+            done = [v for v in [1, *ladder[:place + 1]] if v not in later]
+            df = df.drop(*[f"{half}{v}" for v in done for half in ("first", "second")])
         return df
 
-    def _level(self, df: DataFrame, w: int, known: list[int], frame) -> DataFrame:
-        blocks = split_into_blocks(w, known)
-        spans = split_overlapping(w, known)
-        lags: dict[str, Column] = {}
-
-        def at(name: str, offset: int) -> str:
-            if offset == 0:
-                return f"`{name}`"
-            lagged = f"{name}__lag{offset}"
-            lags[lagged] = F.lag(name, offset).over(frame)
-            return f"`{lagged}`"
-
-        first, second = {}, {}
-        for x in (s for s in self.means if self._wanted(s, w)):
-            parts = [(b, at(state(x, "a", b), off)) for b, off in blocks]
-            first[state(x, "a", w)] = "(" + " + ".join(f"{b}D * {a}" for b, a in parts) + f") / {w}D"
-            mean = f"`{state(x, 'a', w)}`"
-            terms = [at(state(x, "q", b), off) for b, off in blocks if b > 1]
-            terms += [f"{b}D * ({a} - {mean}) * ({a} - {mean})" for b, a in parts]
-            second[state(x, "q", w)] = " + ".join(terms)
-        for x, y in self.pairs:
-            if not (self._wanted(x, w) and self._wanted(y, w)):
-                continue
-            mx, my = f"`{state(x, 'a', w)}`", f"`{state(y, 'a', w)}`"
-            terms = [at(state(f"{x}~{y}", "p", b), off) for b, off in blocks if b > 1]
-            terms += [f"{b}D * ({at(state(x, 'a', b), off)} - {mx}) * ({at(state(y, 'a', b), off)} - {my})"
-                      for b, off in blocks]
-            second[state(f"{x}~{y}", "p", w)] = " + ".join(terms)
-        for x in self.sums:
-            first[state(x, "s", w)] = " + ".join(at(state(x, "s", b), off) for b, off in blocks)
-        for names, kind, pick, beats in ((self.highs, "x", "greatest", ">="), (self.lows, "n", "least", "<=")):
-            for x in names:
-                vals = [at(state(x, kind, b), off) for b, off in spans]
-                present = " AND ".join(f"{v} IS NOT NULL" for v in vals)
-                first[state(x, kind, w)] = f"CASE WHEN {present} THEN {pick}({', '.join(vals)}) END"
-                best = f"`{state(x, kind, w)}`"
-                branches = []
-                for (b, off), v in reversed(list(zip(spans, vals))):
-                    if b == 1:
-                        hit = f"`{self.row_number}` - {off}"
-                    else:
-                        hit = at(state(x, kind + "i", b), off)
-                    branches.append(f"WHEN {v} {beats} {best} THEN {hit}")
-                second[state(x, kind + "i", w)] = "CASE " + " ".join(branches) + " END"
+    def _level(self, df: DataFrame, w: int, blocks, spans, frame) -> DataFrame:
+        lagged = sorted({(b, off) for b, off in [*blocks, *spans] if off})
+        lags = {f"{half}{b}_lag{off}": F.lag(f"{half}{b}", off).over(frame)
+                for b, off in lagged for half in ("first", "second") if half == "first" or b > 1}
+        if not self.second:
+            lags = {k: v for k, v in lags.items() if k.startswith("first")}
+
+        first = []
+        for kind, x in self.first:
+            if kind == "a":
+                first.append("(" + " + ".join(f"{b}D * {self.ref('a', x, b, off)}" for b, off in blocks) + f") / {w}D")
+            elif kind == "s":
+                first.append(" + ".join(self.ref("s", x, b, off) for b, off in blocks))
+            else:
+                values = [self.ref(kind, x, b, off) for b, off in spans]
+                present = " AND ".join(f"{v} IS NOT NULL" for v in values)
+                pick = "greatest" if kind == "x" else "least"
+                first.append(f"CASE WHEN {present} THEN {pick}({', '.join(values)}) END")
+
+        second = []
+        for kind, x in self.second:
+            if kind in ("q", "p"):
+                left, right = (x, x) if kind == "q" else x.split("~")
+                ml, mr = self.ref("a", left, w), self.ref("a", right, w)
+                terms = [self.ref(kind, x, b, off) for b, off in blocks if b > 1]
+                terms += [f"{b}D * ({self.ref('a', left, b, off)} - {ml}) * ({self.ref('a', right, b, off)} - {mr})"
+                          for b, off in blocks]
+                second.append(" + ".join(terms))
+            else:
+                extreme = kind[0]
+                best = self.ref(extreme, x, w)
+                hits = " ".join(
+                    f"WHEN {self.ref(extreme, x, b, off)} = {best} THEN "
+                    + (f"CAST(`{self.row_number}` - {off} AS DOUBLE)" if b == 1 else self.ref(kind, x, b, off))
+                    for b, off in reversed(spans))
+                second.append(f"CASE {hits} END")
 
         kept = df.columns
         if lags:
             df = df.withColumns(lags)
-        df = df.withColumns({k: F.expr(v) for k, v in first.items()})
-        df = df.withColumns({k: F.expr(v) for k, v in second.items()})
-        return df.select(*[f"`{c}`" for c in kept + list(first) + list(second)])
+        df = df.withColumn(f"first{w}", F.expr("array(" + ", ".join(first) + ")"))
+        new = [f"first{w}"]
+        if second:
+            df = df.withColumn(f"second{w}", F.expr("array(" + ", ".join(second) + ")"))
+            new.append(f"second{w}")
+        return df.select(*kept, *new)

@@ -7,6 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 
 
 def build_session(app: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,18 +20,23 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.ui.enabled": "false",
-        **conf,
-    }
+    settings = {**RUNTIME_SETTINGS, "spark.ui.enabled": "false", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the jobs count on, for a session somebody else built.
+
+    Generated methods above 8000 bytecodes are never compiled by the JVM; below that limit
+    Spark splits wide projections (the factor frame has 300 columns) into small methods.
+    """
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 

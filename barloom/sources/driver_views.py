@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import tune
+
 
 class DriverTables:
     """Reads the folder's parquet tables and derives the canonical views from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        tune(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
