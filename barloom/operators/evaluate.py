@@ -81,10 +81,12 @@ def decile_profile(df: DataFrame, score: str, target: str, *, min_rows: int = 10
     ok = known.groupBy(by).agg(F.count("*").alias("n"), (F.min(score) < F.max(score)).alias("varies"),
                                F.avg(target).alias("date_mean")).where((F.col("n") >= min_rows) & F.col("varies"))
     ranked = decile(known.join(ok.select(by), by, "left_semi"), score, by, large=large)
-    profile = (ranked.groupBy(by, "decile").agg(F.avg(target).alias("m"))
-               .groupBy("decile").agg(F.avg("m").alias("mean_return"), F.count("*").alias("dates")))
-    universe = ok.agg(F.avg("date_mean").alias("universe_return"))
-    return (profile.withColumn("k", F.lit(1)).join(universe.withColumn("k", F.lit(1)), "k").drop("k")
+    # the date means travel as class -1, so one aggregation yields all levels
+    means = ranked.groupBy(by, "decile").agg(F.avg(target).alias("m")).unionByName(
+        ok.select(by, F.lit(-1).alias("decile"), F.col("date_mean").alias("m")))
+    profile = means.groupBy("decile").agg(F.avg("m").alias("mean_return"), F.count("*").alias("dates"))
+    universe = F.max(F.when(F.col("decile") == -1, F.col("mean_return"))).over(Window.partitionBy(F.lit(0)))
+    return (profile.withColumn("universe_return", universe).where(F.col("decile") >= 0)
             .withColumn("excess_return", F.col("mean_return") - F.col("universe_return")))
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.dates import after_close, session_open
-from barloom.functions.rules import heavy_sell_pressure, position_alert, price_alert_level, price_triggered
+from barloom.functions.rules import (
+    heavy_sell_pressure, news_level, position_alert, price_alert_level, price_triggered, sentiment_direction)
 from barloom.functions.text import is_major_news, news_key
-from barloom.functions.rules import news_level, sentiment_direction
+from barloom.operators.research import newest_rows
 
 
 def in_session(quotes: DataFrame, ts: str = "quote_time") -> DataFrame:
@@ -39,40 +38,17 @@ def triggered_positions(quotes: DataFrame, positions: DataFrame, *, ts: str = "q
 
 
 def first_per_day(hits: DataFrame, key: str = "alert_id", at: str = "at") -> DataFrame:
-    """Batch twin of ``once_a_day``: the first hit of a key on each day."""
+    """Batch twin of ``once_a_day``: the earliest hit of a key on each day."""
     rest = [c for c in hits.columns if c != key]
     day = F.to_date(at).alias("day")
     return hits.groupBy(key, day).agg(F.min_by(F.struct(*rest), at).alias("r")).select(key, "r.*")
 
 
-def once_a_day(hits: DataFrame, key: str = "alert_id", at: str = "at") -> DataFrame:
-    """At most one notice per key and day. The state of a key is one date.
-
-    A micro-batch is cut to the rows of new days in key order; state expires after two days
-    without a hit."""
-    schema = hits.schema
-
-    def fold(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        firsts: dict = {}
-        for frame in frames:
-            frame = frame.assign(__day=frame[at].dt.normalize())
-            for day, rows in frame.groupby("__day"):
-                row = rows.sort_values(at, kind="stable").iloc[[0]].drop(columns="__day")
-                if day not in firsts or row[at].iloc[0] < firsts[day][at].iloc[0]:
-                    firsts[day] = row
-        fresh = {d: r for d, r in firsts.items() if last is None or d > last}
-        if firsts:
-            state.update((max([*firsts, last] if last is not None else firsts).to_pydatetime(),))
-        state.setTimeoutDuration(2 * 24 * 3600 * 1000)
-        if fresh:
-            yield pd.concat([fresh[d] for d in sorted(fresh)])
-
-    return hits.groupBy(key).applyInPandasWithState(
-        fold, schema, "last timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def once_a_day(hits: DataFrame, key: str = "alert_id", at: str = "at", delay: str = "2 days") -> DataFrame:
+    """At most one notice per key and day: the first one to arrive. Keyed state is dropped once
+    the watermark has passed the day."""
+    return (hits.withColumn("day", F.to_date(at)).withWatermark(at, delay)
+            .dropDuplicatesWithinWatermark([key, "day"]))
 
 
 def classify_news(news: DataFrame, *, code: str = "code", ts: str = "ts", title: str = "title",
@@ -94,7 +70,6 @@ def new_items(items: DataFrame, *, key: str = "event_key", ts: str = "ts", delay
 
 def scan_news(batch: DataFrame, ledger: DataFrame, *, newest: int = 8, handled: int = 5) -> DataFrame:
     """Per code: of the newest items those not in the ledger, at most ``handled``, classified."""
-    from barloom.operators.research import newest_rows
     top = newest_rows(classify_news(batch), ["code"], [F.desc("ts"), "event_key"], newest).drop("row_no")
     fresh = top.join(ledger.select("event_key"), "event_key", "left_anti")
     return newest_rows(fresh, ["code"], [F.desc("ts"), "event_key"], handled).drop("row_no")
