@@ -64,6 +64,7 @@ def pct_rank(df: DataFrame, cols: Mapping[str, str] | Sequence[str], by: str = "
     source column to the new name (a plain list replaces the columns)."""
     names = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
     if _resolve(df, by, large):
+        df = cut_lineage(df)
         for c, new in names.items():
             counted = _counted(df, by, c).select(
                 by, c, ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias("__rank"))
@@ -105,6 +106,7 @@ def positions(df: DataFrame, col: str, by: str = "trade_date", tie: str = "code"
         order = Window.partitionBy(by).orderBy(F.col(col).asc_nulls_last(), tie)
         n = F.count(col).over(Window.partitionBy(by))
         return df.withColumns({name: F.when(F.col(col).isNotNull(), F.row_number().over(order)), total: n})
+    df = cut_lineage(df)
     counted = _counted(df, by, col).select(by, col, "below", F.col("total").alias(total))
     placed = df.withColumn("__place", _text_place(F.col(tie)))
     placed = (placed.join(_cuts(placed, by, "__place", "__cuts"), by, "left")
@@ -152,30 +154,42 @@ def group_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], by: str
 
 def winsor_z(df: DataFrame, cols: Sequence[str], by: str = "trade_date", low: float = 0.01, high: float = 0.99, *,
              large: bool | None = None) -> DataFrame:
-    """Clip to the group's 1 % and 99 % quantiles, then z-score; no spread gives 0."""
-    large = _resolve(df, by, large)
+    """Clip to the group's 1 % and 99 % quantiles, then z-score; no spread gives 0. All columns
+    share one pass."""
+    def z(c: str, mean: Column, std: Column) -> Column:
+        flat = std.isNull() | (std == 0)
+        return F.when(F.col(c).isNull(), None).when(flat, 0.0).otherwise(F.try_divide(F.col(c) - mean, std))
+
+    if not _resolve(df, by, large):
+        group = Window.partitionBy(by)
+        bounds = {f"__{side}_{c}": F.percentile(c, F.lit(q)).over(group)
+                  for c in cols for side, q in (("lo", low), ("hi", high))}
+        clipped = df.withColumns(bounds).withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(
+            F.least(F.col(c), F.col(f"__hi_{c}")), F.col(f"__lo_{c}"))) for c in cols}).drop(*bounds)
+        return clipped.withColumns({c: z(c, F.avg(c).over(group), F.stddev_samp(c).over(group)) for c in cols})
+    df = cut_lineage(df)
     for c in cols:
-        bounds = group_quantiles(df, c, {"__lo": low, "__hi": high}, by, large=large)
-        df = df.join(bounds, by, "left").withColumn(
-            "__clipped", F.when(F.col(c).isNotNull(), F.greatest(F.least(c, "__hi"), F.col("__lo"))))
-        moments = df.groupBy(by).agg(F.avg("__clipped").alias("__mean"), F.stddev_samp("__clipped").alias("__std"))
-        z = F.try_divide(F.col("__clipped") - F.col("__mean"), F.col("__std"))
-        flat = F.col("__std").isNull() | (F.col("__std") == 0)
-        df = (df.join(moments, by, "left")
-              .withColumn(c, F.when(F.col("__clipped").isNull(), None).when(flat, 0.0).otherwise(z))
-              .drop("__lo", "__hi", "__clipped", "__mean", "__std"))
-    return df
+        edges = group_quantiles(df, c, {"__lo": low, "__hi": high}, by, large=True)
+        df = df.join(edges, by, "left").withColumn(c, F.when(
+            F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col("__hi")), F.col("__lo")))).drop("__lo", "__hi")
+    df = cut_lineage(df)
+    moments = df.groupBy(by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
+                                 *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols])
+    return df.join(moments, by, "left").withColumns(
+        {c: z(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in cols}).drop(
+        *[f"__{k}_{c}" for k in "ms" for c in cols])
 
 
 def composite_score(df: DataFrame, signs: Mapping[str, int], name: str = "score", by: str = "trade_date", *,
                     large: bool | None = None) -> DataFrame:
     """Mean over factors of sign times winsorised z; missing factors are left out of the mean."""
-    keys = [by, "code"]
-    z = winsor_z(df.select(*keys, *signs), list(signs), by, large=large)
+    raw = {f"__raw_{c}": F.col(c) for c in signs}
+    z = winsor_z(df.withColumns(raw), list(signs), by, large=large)
     parts = [F.col(c) * F.lit(float(s)) for c, s in signs.items()]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     present = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
-    return df.join(z.select(*keys, F.try_divide(total, present).alias(name)), keys, "left")
+    return z.withColumn(name, F.try_divide(total, present)).withColumns(
+        {c: F.col(f"__raw_{c}") for c in signs}).drop(*raw)
 
 
 def regime_switched(bull: Column, universal: Column, bear: Column) -> Column:

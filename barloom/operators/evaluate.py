@@ -110,7 +110,8 @@ def topk_excess(df: DataFrame, score: str, target: str, k: int, by: str = "trade
     return topk_by_date(df, score, target, k, by).agg(
         F.avg("top_return").alias("top_return"), F.avg("universe_return").alias("universe_return"),
         F.avg("excess").alias("excess_return"), F.stddev_samp("excess").alias("excess_std"),
-        F.avg((F.col("excess") > 0).cast("double")).alias("excess_positive_rate"),
+        # a date whose rows are all in the top has excess 0 up to summation order
+        F.avg((F.col("excess") > 1e-12).cast("double")).alias("excess_positive_rate"),
         F.count("*").alias("period_count"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators.cross_section import extreme_factors
-from barloom.operators.factors import CANDLE_SHAPES, WINDOWS, factor_frame, latest_factors
+from barloom.operators.factors import CANDLE_SHAPES, WINDOWS, factor_frame, factor_names, latest_factors
 from barloom.operators.technical import factor_summary
 from catalog.registry import query, r, with_ctes
 
@@ -113,8 +113,14 @@ SCALE = {"ILLIQ": 1e6}
 NEEDS_MARKET = {"BETA", "RSQR", "RESI", "RELV"}
 
 
+def _digits(families) -> int:
+    """Ratios of whole quantities often end in a 5 at the fifth place: round them further out."""
+    return 8 if {"VMA", "TURN", "WVMA", "AMTMA"} & set(families) else 4
+
+
 def _sql(families: list[str]) -> str:
-    cols = [r(f"coalesce({FORMULAS[f](w)}, 0) * {SCALE.get(f, 1)}", f"{f}{w}") for f in families for w in WINDOWS]
+    cols = [r(f"coalesce({FORMULAS[f](w)}, 0) * {SCALE.get(f, 1)}", f"{f}{w}", _digits(families))
+            for f in families for w in WINDOWS]
     return with_ctes("fx") + "SELECT code, trade_date, " + ", ".join(cols) + " FROM fx"
 
 
@@ -136,7 +142,7 @@ GROUPS = {
     "w32_relv": ["RELV"],
 }
 for _name, _families in GROUPS.items():
-    query(f"factor_{_name}", _sql(_families))(lambda t, fs=_families: _frame(t, fs))
+    query(f"factor_{_name}", _sql(_families), _digits(_families))(lambda t, fs=_families: _frame(t, fs))
 
 _resid = ", ".join(f"ret - ({beta(w)}) * m AS e{w}" for w in WINDOWS)
 _resi = ", ".join(r(f"coalesce({full(f'stddev_samp(e{w}) {win(w)}', f'e{w}', w)}, 0)", f"RESI{w}") for w in WINDOWS)
@@ -182,8 +188,12 @@ def latest(t):
 
 @query("factor_full_frame")
 def full_frame(t):
-    """All 300 factors on every bar (J1)."""
-    return factor_frame(t.bars(), t.market_bars())
+    """All 300 factors on every bar (J1), reported as mean and spread of each factor."""
+    names = factor_names()
+    df = factor_frame(t.bars(), t.market_bars())
+    stats = df.agg(*[F.struct(F.lit(n).alias("factor"), F.count(n).alias("rows"), F.avg(n).alias("mean"),
+                              F.stddev_samp(n).alias("std")).alias(n) for n in names])
+    return stats.select(F.explode(F.array(*names)).alias("s")).select("s.*")
 
 
 _z = " UNION ALL ".join(f"SELECT code, '{n}' AS factor, {n} AS v FROM lf" for n in LATEST)
