@@ -28,7 +28,7 @@ def rollup(t):
     return bars2(t)
 
 
-@query("bars_s04_market", with_ctes("market") + f"SELECT trade_date, {r('close', 'close', 6)} FROM market", 6)
+@query("bars_s04_market", with_ctes("market") + f"SELECT trade_date, {r('close', 'close', 8)} FROM market", 8)
 def market(t):
     return t.market_bars().select("trade_date", "close")
 
@@ -88,8 +88,8 @@ def latest(t):
     return latest_per_key(t.bars().select("code", "trade_date", "close"), ["code"], ["trade_date"])
 
 
-@query("source_s17_bar_payload", with_ctes("bars") + "SELECT code, trade_date, " + ", ".join(r(c, c, 6) for c in ("open", "high", "low", "close", "volume"))
-       + f", {r('0', 'amount')} FROM bars WHERE code IS NOT NULL", 6)
+@query("source_s17_bar_payload", with_ctes("bars") + "SELECT code, trade_date, " + ", ".join(r(c, c, 8) for c in ("open", "high", "low", "close", "volume"))
+       + f", {r('0', 'amount')} FROM bars WHERE code IS NOT NULL", 8)
 def bar_payload(t):
     """Bars written as nested feed payloads by Spark, then parsed back."""
     cells = F.array(F.col("trade_date").cast("string"), *[F.col(c).cast("string") for c in ("open", "close", "high", "low", "volume")])
@@ -316,7 +316,7 @@ def sigmoid(t):
     return t.table("events").select("event_id", num.sigmoid((F.col("value") - 50) / 10).alias("s"))
 
 
-@query("func_f16_cashflow_ratio", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('greatest(-10, least(10, l_tax / nullif(l_discount, 0)))', 'q', 6)} FROM lineitem", 6)
+@query("func_f16_cashflow_ratio", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('CASE WHEN l_discount <> 0 THEN greatest(-10, least(10, l_tax / l_discount)) END', 'q', 6)} FROM lineitem", 6)
 def cashflow(t):
     return t.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", num.cashflow_ratio("l_tax", "l_discount").alias("q"))
 
