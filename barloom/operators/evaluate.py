@@ -44,7 +44,8 @@ def summarize_ic(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"),
         F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"),
         F.percentile("ic", F.lit(0.5)).alias("median"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"),
+        # correlations of short cross-sections can be 0 up to summation order
+        F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive_rate"),
         F.count("*").alias("days"))
 
 

@@ -149,7 +149,7 @@ def _ic_part(f: str, scope: str, cond: str) -> str:
 @query("eval_b04_feature_report", with_ctes("bars", "anns", "cal", **AMAP, **DA, **AF, **LAB, ics=" UNION ALL ".join(
     _ic_part(f, s, c) for f in FEATS for s, c in (("all", "true"), ("conditional", "has_ann_7d > 0"))))
     + f"SELECT feature, scope, {r('avg(ic)', 'mean')}, {r('stddev_samp(ic)', 'std')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, {r('median(ic)', 'median')}, "
-      f"{r('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days FROM ics WHERE ic IS NOT NULL GROUP BY 1, 2")
+      f"{r('avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days FROM ics WHERE ic IS NOT NULL GROUP BY 1, 2")
 def b04(t):
     return evaluate_features(labelled_events(t), FEATS, "y", min_per_date=5, conditions={f: "has_ann_7d" for f in FEATS})
 

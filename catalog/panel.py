@@ -195,7 +195,7 @@ def ic_ctes(target: str, extra: str = "", src: str = "scored", score: str = "sco
 
 
 SUMMARY = (f"{r('avg(ic)', 'mean')}, {r('stddev_samp(ic)', 'std')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, "
-           f"{r('median(ic)', 'median')}, {r('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days")
+           f"{r('median(ic)', 'median')}, {r('avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days")
 
 
 def ics(t, target="fwd5"):
