@@ -68,24 +68,29 @@ def current_regime(history: DataFrame) -> DataFrame:
 
 
 def sector_index(bars: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Sector series from its members: mean member return per date, compounded from 1."""
+    """Sector series from its members: mean member return per date, compounded. The level is
+    kept as a logarithm, so a long history cannot overflow."""
     spec = Window.partitionBy("code").orderBy("trade_date")
     rets = bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(spec)) - 1).where(
         F.col("ret").isNotNull())
     daily = rets.join(sectors.select("code", "sector"), "code").groupBy("sector", "trade_date").agg(
         F.avg("ret").alias("ret"))
     upto = Window.partitionBy("sector").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("close", F.exp(F.sum(F.log1p("ret")).over(upto)))
+    return daily.withColumn("log_close", F.sum(F.log1p("ret")).over(upto))
 
 
 def sector_strength(sector_bars: DataFrame, market: DataFrame, days: int = 5) -> DataFrame:
-    """``days``-bar return of each sector per date and its excess over the benchmark's newest
-    return up to that date."""
+    """``days``-bar return of each sector per date and its excess over the benchmark's return on
+    that date. Sector bars have ``close`` (supplied series) or ``log_close``."""
     spec = Window.partitionBy("sector").orderBy("trade_date")
     bench = market.select("trade_date", F.coalesce(
         F.try_divide(F.col("close"), F.lag("close", days).over(Window.orderBy("trade_date"))) - 1,
         F.lit(0.0)).alias("bench"))
-    own = sector_bars.withColumn("return_5d", F.try_divide(F.col("close"), F.lag("close", days).over(spec)) - 1)
+    if "log_close" in sector_bars.columns:
+        move = F.exp(F.col("log_close") - F.lag("log_close", days).over(spec)) - 1
+    else:
+        move = F.try_divide(F.col("close"), F.lag("close", days).over(spec)) - 1
+    own = sector_bars.withColumn("return_5d", move)
     return own.join(bench, "trade_date", "left").where(F.col("return_5d").isNotNull()).select(
         "sector", "trade_date", "return_5d",
         (F.col("return_5d") - F.coalesce("bench", F.lit(0.0))).alias("excess_return_5d"))

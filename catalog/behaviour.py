@@ -78,18 +78,18 @@ def age(limit: int) -> str:
 
 NF = {"nf": "SELECT g.code, g.trade_date, g.idx, coalesce(ec, 0) AS ec, coalesce(sc, 0) AS sc, coalesce(ss, 0) AS ss, coalesce(ps, 0) AS ps, coalesce(ng, 0) AS ng, mx "
             "FROM ngrid g LEFT JOIN dn USING (code, trade_date)"}
-NEWS_COLS = ", ".join([*(r(f"{roll('ss', w)} / nullif({roll('sc', w)}, 0)", f"news_score_{w}d", 6) for w in (1, 3, 7)),
+NEWS_COLS = ", ".join([*(r(f"{roll('ss', w)} / nullif({roll('sc', w)}, 0)", f"news_score_{w}d", 9) for w in (1, 3, 7)),
                        f"CAST({roll('ec', 7)} AS BIGINT) AS news_count_7d", f"CAST({roll('ps', 7)} AS BIGINT) AS news_pos_count_7d",
-                       f"CAST({roll('ng', 7)} AS BIGINT) AS news_neg_count_7d", r(roll("mx", 7, "max"), "news_absmax_7d", 6),
+                       f"CAST({roll('ng', 7)} AS BIGINT) AS news_neg_count_7d", r(roll("mx", 7, "max"), "news_absmax_7d", 9),
                        f"{age(7)} AS news_latest_age_days", f"CAST({roll('ec', 7)} > 0 AS INTEGER) AS has_news_7d"])
 
 
-@query("events_b03_w45_news_features", with_ctes("ngrid", **NMAP, **DN, **NF) + f"SELECT code, trade_date, {NEWS_COLS} FROM nf", 6)
+@query("events_b03_w45_news_features", with_ctes("ngrid", **NMAP, **DN, **NF) + f"SELECT code, trade_date, {NEWS_COLS} FROM nf", 9)
 def w45(t):
     return event_panel(t.news_panel(), t.news(), calendar=t.news_calendar())
 
 
-@query("events_p06_news_features_from_start", with_ctes("ngrid", **NMAP, **DN, **NF) + f"SELECT * FROM (SELECT code, trade_date, {NEWS_COLS} FROM nf) WHERE trade_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-26'", 6)
+@query("events_p06_news_features_from_start", with_ctes("ngrid", **NMAP, **DN, **NF) + f"SELECT * FROM (SELECT code, trade_date, {NEWS_COLS} FROM nf) WHERE trade_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-26'", 9)
 def p06(t):
     """Output range with warm-up rows before it: same values as the full grid."""
     return event_panel(t.news_panel(), t.news(), calendar=t.news_calendar(), start="2024-01-16", end="2024-01-26")
@@ -371,9 +371,9 @@ def w50c(t):
 
 SEC = {"sr": f"SELECT code, trade_date, close / lag(close) OVER ({P}) - 1 AS ret FROM bars",
        "sd": "SELECT sector, trade_date, avg(ret) AS ret FROM sr JOIN sectors USING (code) WHERE ret IS NOT NULL GROUP BY 1, 2",
-       "si": "SELECT sector, trade_date, exp(sum(ln(1 + ret)) OVER (PARTITION BY sector ORDER BY trade_date)) AS close FROM sd",
+       "si": "SELECT sector, trade_date, sum(ln(1 + ret)) OVER (PARTITION BY sector ORDER BY trade_date) AS lc FROM sd",
        "sb": "SELECT trade_date, coalesce(close / lag(close, 5) OVER (ORDER BY trade_date) - 1, 0) AS b FROM market",
-       "ss": "SELECT sector, trade_date, close / lag(close, 5) OVER (PARTITION BY sector ORDER BY trade_date) - 1 AS x FROM si",
+       "ss": "SELECT sector, trade_date, exp(lc - lag(lc, 5) OVER (PARTITION BY sector ORDER BY trade_date)) - 1 AS x FROM si",
        "st": "SELECT sector, trade_date, x, x - b AS e FROM ss JOIN sb USING (trade_date) WHERE x IS NOT NULL",
        "sl": "SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY sector ORDER BY trade_date DESC) = 1"}
 
