@@ -105,7 +105,8 @@ def positions(df: DataFrame, col: str, by: str = "trade_date", tie: str = "code"
     if not _resolve(df, by, large):
         order = Window.partitionBy(by).orderBy(F.col(col).asc_nulls_last(), tie)
         n = F.count(col).over(Window.partitionBy(by))
-        return df.withColumns({name: F.when(F.col(col).isNotNull(), F.row_number().over(order)), total: n})
+        known = F.col(col).isNotNull()
+        return df.withColumns({name: F.when(known, F.row_number().over(order)), total: F.when(known, n)})
     df = cut_lineage(df)
     counted = _counted(df, by, col).select(by, col, "below", F.col("total").alias(total))
     placed = df.withColumn("__place", _text_place(F.col(tie)))

@@ -29,10 +29,10 @@ def rollup(t):
 
 
 @query("bars_s04_market", "WITH m AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, round(sum(l_extendedprice), 2) AS amount, sum(l_quantity) AS volume FROM lineitem GROUP BY 1) "
-       f"SELECT trade_date, {r('amount', 'amount', 2)}, {r('volume', 'volume', 2)}, {r('amount / volume', 'close', 8)} FROM m", 8)
+       f"SELECT trade_date, {r('amount', 'amount', 2)}, {r('volume', 'volume', 2)}, {r('ln(amount / volume)', 'log_close', 8)} FROM m", 8)
 def market(t):
     amount = num.half_up("amount", 2)
-    return t.market_bars().select("trade_date", amount.alias("amount"), "volume", (amount / F.col("volume")).alias("close"))
+    return t.market_bars().select("trade_date", amount.alias("amount"), "volume", F.ln(amount / F.col("volume")).alias("log_close"))
 
 
 @query("bars_s05_range", with_ctes("bars") + f"SELECT code, trade_date, {r('close', 'close', 8)} FROM bars WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", 8)
