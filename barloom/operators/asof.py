@@ -78,10 +78,11 @@ def next_bars(signals: DataFrame, bars: DataFrame, horizon: int, *, run_date: st
     both = prices.withColumn("__bar", F.struct(F.col("__day").alias("entry_date"), F.col("__px").alias("entry_price"),
                                                F.col("__exit").alias("exit_price"))).unionByName(
         asked.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
-    # a bar of the same day sorts before the question, so only later bars follow it
-    ahead = (Window.partitionBy(by).orderBy("__day", F.col("__asked").asc_nulls_first())
-             .rowsBetween(1, Window.unboundedFollowing))
-    entry = (both.withColumn("__next", F.first("__bar", ignorenulls=True).over(ahead))
+    # newest first: the question stands before a bar of its own day, so only later bars precede
+    # it (a running frame; one that reaches forward would be re-read for every row)
+    later = (Window.partitionBy(by).orderBy(F.desc("__day"), F.col("__asked").desc_nulls_last())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    entry = (both.withColumn("__next", F.last("__bar", ignorenulls=True).over(later))
              .where("__asked").select(by, "__day", "__next.*"))
     out = signals.withColumn("__day", F.col(run_date).cast("date")).join(entry, [by, "__day"], "left").drop("__day")
     good = (F.col("entry_price") > 0) & (F.col("exit_price") > 0)
@@ -104,9 +105,10 @@ def following_bars(signals: DataFrame, bars: DataFrame, length: int, *, run_date
                  ).alias("__bar"))
     asked = signals.select(F.col(by), F.col(run_date).cast("date").alias("__day")).distinct()
     both = pre.unionByName(asked.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
-    onward = (Window.partitionBy(by).orderBy("__day", F.col("__asked").desc_nulls_last())
-              .rowsBetween(1, Window.unboundedFollowing))
-    found = (both.withColumn("__ref", F.first("__bar", ignorenulls=True).over(onward))
+    # newest first, a bar of the same day stands before the question
+    onward = (Window.partitionBy(by).orderBy(F.desc("__day"), F.col("__asked").asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    found = (both.withColumn("__ref", F.last("__bar", ignorenulls=True).over(onward))
              .where("__asked").select(by, "__day", "__ref.*"))
     limit = F.date_add("__day", length * 3 + slack_days)
     complete = F.col("end_date").isNotNull() & (F.col("end_date") <= limit)

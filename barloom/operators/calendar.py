@@ -65,13 +65,13 @@ def calendar_map(calendar: DataFrame) -> DataFrame:
     span = calendar.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
     marked = days.join(calendar.select(F.col("trade_date").alias("day"), F.col("trade_date")), "day", "left")
-    order = Window.orderBy("day")
-    ahead = F.first("trade_date", ignorenulls=True)
+    order = Window.orderBy(F.desc("day"))
+    ahead = F.last("trade_date", ignorenulls=True)
     return marked.select(
         "day",
         F.col("trade_date").isNotNull().alias("open_day"),
-        ahead.over(order.rowsBetween(0, Window.unboundedFollowing)).alias("this_or_next"),
-        ahead.over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next_day"))
+        ahead.over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("this_or_next"),
+        ahead.over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("next_day"))
 
 
 def map_to_trading_day(events: DataFrame, calendar: DataFrame, ts: str, cutoff: str = "15:00:00",

@@ -191,9 +191,11 @@ def full_frame(t):
     """All 300 factors on every bar (J1), reported as mean and spread of each factor."""
     names = factor_names()
     df = factor_frame(t.bars(), t.market_bars())
-    stats = df.agg(*[F.struct(F.lit(n).alias("factor"), F.count(n).alias("rows"), F.avg(n).alias("mean"),
-                              F.stddev_samp(n).alias("std")).alias(n) for n in names])
-    return stats.select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    values = df.select(F.posexplode(F.array(*names)).alias("place", "value"))
+    stats = values.groupBy("place").agg(F.count("value").alias("rows"), F.avg("value").alias("mean"),
+                                        F.stddev_samp("value").alias("std"))
+    return stats.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1).alias("factor"),
+                        "rows", "mean", "std")
 
 
 _z = " UNION ALL ".join(f"SELECT code, '{n}' AS factor, {n} AS v FROM lf" for n in LATEST)
