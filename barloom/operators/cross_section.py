@@ -20,8 +20,10 @@ LARGE_GROUP = 2_000_000
 _RANGES = 256
 
 
-def has_large_group(df: DataFrame, by: str = "trade_date", limit: int = LARGE_GROUP) -> bool:
-    """One number comes back: whether any group exceeds the limit."""
+def has_large_group(df: DataFrame, by: str = "trade_date", limit: int | None = None) -> bool:
+    """Whether any group exceeds the limit; one number comes back. Callers that derive a panel
+    from a stored table check the table once and pass the answer on as ``large``."""
+    limit = LARGE_GROUP if limit is None else limit
     row = df.groupBy(by).count().agg(F.max("count").alias("n")).first()
     return bool(row and row["n"] and row["n"] > limit)
 
@@ -198,11 +200,12 @@ def regime_switched(bull: Column, universal: Column, bear: Column) -> Column:
     return F.when(F.coalesce(bull, F.lit(True)), universal).otherwise(bear)
 
 
-def display_percentile(df: DataFrame, score: str, by: str | None = None, tie: str = "code") -> DataFrame:
+def display_percentile(df: DataFrame, score: str, by: str | None = None, tie: str = "code", *,
+                       large: bool | None = None) -> DataFrame:
     """Score place on a 0-9 scale and as a top percentage, among all rows or per group."""
     key = by or "__all"
     base = df if by else df.withColumn(key, F.lit(0))
-    ranked = positions(base, score, key, tie)
+    ranked = positions(base, score, key, tie, large=large)
     place = F.try_divide(F.col("position") - 1, F.greatest(F.lit(1), F.col("group_rows") - 1).cast("double"))
     ranked = ranked.withColumns({
         "display_score": place * 9,

@@ -151,7 +151,7 @@ def _ic_part(f: str, scope: str, cond: str) -> str:
     + f"SELECT feature, scope, {r('avg(ic)', 'mean')}, {r('stddev_samp(ic)', 'std')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, {r('median(ic)', 'median')}, "
       f"{r('avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days FROM ics WHERE ic IS NOT NULL GROUP BY 1, 2")
 def b04(t):
-    return evaluate_features(labelled_events(t), FEATS, "y", min_per_date=5, conditions={f: "has_ann_7d" for f in FEATS})
+    return evaluate_features(labelled_events(t), FEATS, "y", min_per_date=5, conditions={f: "has_ann_7d" for f in FEATS}, large=t.large_dates())
 
 
 @query("events_a18_clock_profile", f"SELECT count(*) AS rows, count(DISTINCT user_id) AS codes, {r('avg(CASE WHEN CAST(ts AS TIME) = TIME $$00:00:00$$ THEN 1.0 ELSE 0 END)', 'midnight_rate')}, "

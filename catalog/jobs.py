@@ -249,7 +249,7 @@ PANEL_PROP = dict(volz_window=60, volz_min_count=5, min_corr=0.05, max_leaders=4
 
 
 def small_panel(t, **kw):
-    return training_panel(t.bars(), t.market_bars(), t.fundamentals(), names=list(PANEL_FACTORS), propagation_options=PANEL_PROP, **kw)[0]
+    return training_panel(t.bars(), t.market_bars(), t.fundamentals(), names=list(PANEL_FACTORS), propagation_options=PANEL_PROP, large=t.large_dates(), **kw)[0]
 
 
 PANEL = {
@@ -269,7 +269,7 @@ def b02(t):
 @query("panel_b02_full_training_set")
 def b02_full(t):
     """The whole panel (300 factors, labels, propagation, fundamentals), reported per year."""
-    panel, _ = training_panel(t.bars(), t.market_bars(), t.fundamentals(), propagation_options=PANEL_PROP)
+    panel, _ = training_panel(t.bars(), t.market_bars(), t.fundamentals(), propagation_options=PANEL_PROP, large=t.large_dates())
     return panel.groupBy(F.year("trade_date").alias("year")).agg(
         F.count("*").alias("rows"), F.avg("label").alias("label"), *[F.avg(c).alias(c) for c in (*ROBUST, *pr.FEATURES, "ocf_to_eps")])
 
@@ -298,7 +298,7 @@ FEATURES = ("RET20", "MA20", "VOLZ20", "QTLD20", "ocf_to_eps")
 def ranker(t):
     panel = cut_lineage(small_panel(t))
     bounds = calendar_split(panel, 20)
-    return panel, *train_ranker(panel, list(FEATURES), bounds, rounds=8, min_rows=20)
+    return panel, *train_ranker(panel, list(FEATURES), bounds, rounds=8, min_rows=20, large=t.large_dates())
 
 
 @query("ml_m01_m04_ranker_evaluation")
@@ -306,7 +306,7 @@ def m01(t):
     """Boosted trees on the decile label, evaluated on the test part (learned: no SQL twin)."""
     _, _, out = ranker(t)
     test = cut_lineage(out.where(F.col("part") == "test"))
-    return evaluation_bundle(test, "score", "forward_20d_return", ks=(2, 3))
+    return evaluation_bundle(test, "score", "forward_20d_return", ks=(2, 3), large=t.large_dates())
 
 
 @query("ml_m05_feature_gains")

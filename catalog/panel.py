@@ -38,19 +38,19 @@ def pct(x: str, part: str) -> str:
 @query("xs_x01_rank_centered", with_ctes("scored") + f"SELECT code, trade_date, {r(pct('score', 'trade_date') + ' - 0.5', 'score', 6)}, "
        + r(pct("volume", "trade_date") + " - 0.5", "volume", 6) + " FROM scored", 6)
 def x01(t):
-    return xs.rank_centered(scored(t), ["score", "volume"]).select("code", "trade_date", "score", "volume")
+    return xs.rank_centered(scored(t), ["score", "volume"], large=t.large_dates()).select("code", "trade_date", "score", "volume")
 
 
 @query("xs_x02_decile", with_ctes("scored") + "SELECT code, trade_date, CAST(least(9, floor(row_number() OVER (PARTITION BY trade_date "
        "ORDER BY score, code) * 10 / count(*) OVER (PARTITION BY trade_date))) AS INTEGER) AS decile FROM scored")
 def x02(t):
-    return xs.decile(scored(t), "score").select("code", "trade_date", "decile")
+    return xs.decile(scored(t), "score", large=t.large_dates()).select("code", "trade_date", "decile")
 
 
 @query("xs_r06b_decile_average", with_ctes("scored") + f"SELECT code, trade_date, CAST(least(9, floor({pct('volume', 'trade_date')} * 10)) AS INTEGER) "
        "AS decile FROM scored")
 def r06b(t):
-    return xs.decile(scored(t), "volume", method="average").select("code", "trade_date", "decile")
+    return xs.decile(scored(t), "volume", method="average", large=t.large_dates()).select("code", "trade_date", "decile")
 
 
 _CLIP = ("SELECT code, trade_date, {cols} FROM (SELECT code, trade_date, {clips} FROM scored s JOIN (SELECT trade_date, {qs} "
@@ -70,7 +70,7 @@ def z_sql(names, src: str) -> dict[str, str]:
 @query("xs_x03_winsor_z", with_ctes("scored", **z_sql(["score", "volume"], "scored"))
        + f"SELECT code, trade_date, {r('score')}, {r('volume')} FROM zed")
 def x03(t):
-    return xs.winsor_z(scored(t), ["score", "volume"]).select("code", "trade_date", "score", "volume")
+    return xs.winsor_z(scored(t), ["score", "volume"], large=t.large_dates()).select("code", "trade_date", "score", "volume")
 
 
 COMPOSITE = {"RET20": -1, "MA60": 1, "VOLZ120": -1, "VMA120": 1, "RESI10": -1}
@@ -84,7 +84,7 @@ _F = {"RET20", "MA60", "VOLZ120", "VMA120"}
 def x04(t):
     signs = {k: v for k, v in COMPOSITE.items() if k in _F}
     df = factor_frame(t.bars(), names=sorted(signs))
-    return xs.composite_score(df, signs).select("code", "trade_date", "score")
+    return xs.composite_score(df, signs, large=t.large_dates()).select("code", "trade_date", "score")
 
 
 BULL = ("bull AS (SELECT trade_date, coalesce(close > CASE WHEN count(close) OVER w = 200 THEN avg(close) OVER w END, false) AS bull "
@@ -104,7 +104,7 @@ def x05(t):
        "ORDER BY score, code) - 1) / greatest(1, count(*) OVER (PARTITION BY trade_date) - 1) AS p FROM scored")
        + f"SELECT code, trade_date, {r('p * 9', 'display_score')}, CAST(greatest(1, floor((1 - p) * 100)) AS INTEGER) AS top_pct FROM p")
 def x06(t):
-    return xs.display_percentile(scored(t), "score", "trade_date").select("code", "trade_date", "display_score", "top_pct")
+    return xs.display_percentile(scored(t), "score", "trade_date", large=t.large_dates()).select("code", "trade_date", "display_score", "top_pct")
 
 
 @query("xs_x07_date_excess", with_ctes("scored") + f"SELECT code, trade_date, {r('fwd5 - avg(fwd5) OVER (PARTITION BY trade_date)', 'excess')} FROM scored")
@@ -199,7 +199,7 @@ SUMMARY = (f"{r('avg(ic)', 'mean')}, {r('stddev_samp(ic)', 'std')}, {r('avg(ic)
 
 
 def ics(t, target="fwd5"):
-    return ev.ic_by_date(scored(t), "score", target, min_rows=MIN_ROWS)
+    return ev.ic_by_date(scored(t), "score", target, min_rows=MIN_ROWS, large=t.large_dates())
 
 
 @query("eval_a03_ic_by_date", with_ctes("scored", **ic_ctes("fwd5")) + f"SELECT trade_date, {r('ic', 'ic', 6)}, n FROM ics", 6)
@@ -221,7 +221,7 @@ def a05(t):
 @query("eval_a06_ic_by_regime", with_ctes("scored", "market", **ic_ctes("fwd5")).rstrip() + ", " + BULL
        + f" SELECT bull, 'score' AS score, {SUMMARY} FROM ics JOIN bull USING (trade_date) GROUP BY 1")
 def a06(t):
-    return ev.ic_by_regime(scored(t), trend_flags(t.market_bars()), ["score"], "fwd5", min_rows=MIN_ROWS)
+    return ev.ic_by_regime(scored(t), trend_flags(t.market_bars()), ["score"], "fwd5", min_rows=MIN_ROWS, large=t.large_dates())
 
 
 @query("eval_t02_ic_extremes", with_ctes("scored", **ic_ctes("fwd5")) + f"SELECT trade_date, {r('ic', 'ic', 6)}, n, 'worst' AS side FROM "
@@ -241,13 +241,13 @@ DEC = {"ok": "SELECT trade_date, avg(fwd5) AS dm FROM scored GROUP BY 1 HAVING c
 @query("eval_a07_decile_profile", with_ctes("scored", **DEC) + f"SELECT decile, {r('mean_return')}, dates, {r('universe_return')}, "
        + r("mean_return - universe_return", "excess_return") + " FROM pr")
 def a07(t):
-    return ev.decile_profile(scored(t), "score", "fwd5")
+    return ev.decile_profile(scored(t), "score", "fwd5", large=t.large_dates())
 
 
 @query("eval_a07_decile_spread", with_ctes("scored", **DEC) + f"SELECT {r('max(CASE WHEN decile = 9 THEN mean_return END) - max(CASE WHEN decile = 0 THEN mean_return END)', 'spread_9_minus_0')}, "
        + r("max(universe_return)", "universe_return") + " FROM pr")
 def a07s(t):
-    return ev.decile_spread(ev.decile_profile(scored(t), "score", "fwd5"))
+    return ev.decile_spread(ev.decile_profile(scored(t), "score", "fwd5", large=t.large_dates()))
 
 
 TOP = {"tp": "SELECT trade_date, avg(fwd5) AS top_return FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, code) AS k "
@@ -279,7 +279,7 @@ def t01(t):
     + f"SELECT trade_date, {r('coalesce(sum(CASE WHEN a <= 5 THEN g / log2(a + 1) ELSE 0 END) / nullif(sum(CASE WHEN i <= 5 THEN label / log2(i + 1) ELSE 0 END), 0), 0)', 'ndcg')} "
       "FROM tg WHERE n > 1 GROUP BY 1")
 def a09(t):
-    labelled = xs.decile(scored(t).where(F.col("label_score").isNotNull()), "label_score", name="label")
+    labelled = xs.decile(scored(t).where(F.col("label_score").isNotNull()), "label_score", name="label", large=t.large_dates())
     return ev.ndcg_by_date(labelled, "score", "label", 5)
 
 
@@ -300,7 +300,7 @@ def a17(t):
 @query("eval_m04_non_overlapping_ic", with_ctes("scored", "cal", nov="SELECT * FROM scored JOIN cal USING (trade_date) WHERE idx % 5 = 0", **ic_ctes("fwd5", src="nov"))
        + f"SELECT {SUMMARY} FROM ics")
 def m04(t):
-    return ev.summarize_ic(ev.ic_by_date(ev.non_overlapping(scored(t), t.calendar(), 5), "score", "fwd5", min_rows=MIN_ROWS))
+    return ev.summarize_ic(ev.ic_by_date(ev.non_overlapping(scored(t), t.calendar(), 5), "score", "fwd5", min_rows=MIN_ROWS, large=t.large_dates()))
 
 
 # ---- backtest ---------------------------------------------------------------------------
@@ -361,7 +361,7 @@ def b01m(t):
        f"JOIN us USING (trade_date)) SELECT segment, CAST(decile AS INTEGER) AS decile, {r('avg(m)', 'mean_return')}, count(*) AS dates FROM (SELECT segment, trade_date, decile, "
        "avg(fwd20) AS m FROM dq GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def b01d(t):
-    return bt.backtest_deciles(bt_input(t), "fwd20", hold=HOLD, k=K, split_date=SPLIT)
+    return bt.backtest_deciles(bt_input(t), "fwd20", hold=HOLD, k=K, split_date=SPLIT, large=t.large_dates())
 
 
 @query("backtest_u05_basket_overlap", bt_sql() + f" SELECT segment, period, {r('turnover')} FROM tr")
