@@ -1,9 +1,7 @@
-"""Event-feature, signal, propagation, regime, sector, technical, streaming and model queries."""
+"""Event-feature, signal, propagation, regime and sector queries."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from barloom.functions import rules as ru
@@ -13,19 +11,11 @@ from barloom.operators import regime as rg
 from barloom.operators import research as rs
 from barloom.operators import signals as sg
 from barloom.operators import structured_events as se
-from barloom.operators import technical as tc
 from barloom.operators.asof import latest_per_key
-from barloom.operators.calendar import map_to_trading_day
 from barloom.operators.evaluate import coverage, evaluate_features, event_study
-from barloom.operators.factors import FAMILIES  # noqa: F401
 from barloom.operators.labels import forward_returns
-from barloom.plans.daily_run import daily_run
 from barloom.plans.event_panel import event_panel
-from barloom.plans.models import (
-    apply_calibration, calendar_split, evaluation_bundle, feature_gains, fit_calibration, fraction_split, train_ranker)
-from barloom.plans.training_panel import training_panel
-from barloom.session import ensure_checkpoint_dir
-from barloom.streaming import watch as wt
+from barloom.plans.models import apply_calibration, fit_calibration
 from catalog.panel import P, pct
 from catalog.registry import query, r, with_ctes
 

@@ -10,9 +10,7 @@ from barloom.operators import propagation as pr
 from barloom.operators import research as rs
 from barloom.operators import technical as tc
 from barloom.operators.asof import latest_per_key
-from barloom.operators.cross_section import decile
 from barloom.operators.factors import ROBUST
-from barloom.operators.signals import unresolved_signals  # noqa: F401
 from barloom.plans.daily_run import daily_run
 from barloom.plans.models import (
     calendar_split, evaluation_bundle, feature_gains, fraction_split, mark_split, train_ranker)
