@@ -17,7 +17,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -
 
 def asof_left(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, values: Sequence[str],
               by: str = "code", strict: bool = True, max_age_days: int | None = None,
-              tie: Sequence[str] = (), bucket: str | None = "year") -> DataFrame:
+              tie: Sequence[str] = (), bucket: str | None = "year", left_unique: bool = False) -> DataFrame:
     """Newest right row before each left row (``strict`` excludes an equal time).
 
     Both sides are merged in time order, no range join. Time is cut into buckets (``bucket``:
@@ -25,7 +25,16 @@ def asof_left(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str,
     before the bucket is carried in from a small per-bucket summary. A key with a large share
     of the rows is therefore spread over its buckets. ``tie`` orders right rows of equal time.
     Values older than ``max_age_days`` become null; the match time stays as ``asof_ts``.
+
+    Unless ``left_unique`` promises one left row per key and time, the distinct (key, time) pairs
+    are resolved and attached by an equi join, so repeated left rows never meet in one window.
     """
+    if not left_unique:
+        keys = left.select(by, left_ts).distinct()
+        found = asof_left(keys, right, left_ts=left_ts, right_ts=right_ts, values=values, by=by, strict=strict,
+                          max_age_days=max_age_days, tie=tie, bucket=bucket, left_unique=True)
+        return left.drop(*values).join(found, [by, left_ts], "left").select(
+            *[c for c in left.columns if c not in values], "asof_ts", *values)
     facts = right.where(F.col(right_ts).isNotNull()).select(
         F.col(by), F.col(right_ts).cast("timestamp").alias("__ts"),
         F.struct(F.col(right_ts).cast("timestamp").alias("asof_ts"), *[F.col(v) for v in values]).alias("__fact"),

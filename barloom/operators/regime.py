@@ -120,5 +120,6 @@ def index_snapshot(index_bars: DataFrame) -> DataFrame:
     moved = index_bars.select("code", "trade_date", "close", move(1).alias("pct_change"),
                               move(5).alias("return_5d"), move(20).alias("return_20d"))
     last = latest_per_key(moved, ["code"], ["trade_date"])
-    mean = F.avg("pct_change").over(Window.partitionBy(F.lit(0)))
-    return last.withColumn("tone", F.when(mean >= 0.4, "firm").when(mean <= -0.4, "soft").otherwise("mixed"))
+    mean = last.agg(F.avg("pct_change")).first()[0]  # one number
+    tone = "mixed" if mean is None or abs(mean) < 0.4 else "firm" if mean > 0 else "soft"
+    return last.withColumn("tone", F.lit(tone))

@@ -165,7 +165,7 @@ def p05(t):
        + " FROM bars b ASOF LEFT JOIN funds f ON b.code = f.code AND b.trade_date > f.available_at", 6)
 def j04(t):
     return asof_left(t.bars().select("code", "trade_date"), t.fundamentals(), left_ts="trade_date", right_ts="available_at",
-                     values=["ocf_to_eps"], max_age_days=400, tie=["report_period"]).select("code", "trade_date", "ocf_to_eps")
+                     values=["ocf_to_eps"], max_age_days=400, tie=["report_period"], left_unique=True).select("code", "trade_date", "ocf_to_eps")
 
 
 @query("asof_j05_market_alignment", with_ctes("fx") + f"SELECT code, trade_date, {r('m', 'market_ret', 6)} FROM fx", 6)
