@@ -108,20 +108,22 @@ def run_universe(watch: DataFrame, pool: DataFrame, limit: int = 50) -> DataFram
         (F.col("rank0") == 0) | (F.col("run_place") <= limit)).select("code", "run_place")
 
 
-def match_names(questions: DataFrame, names: DataFrame, max_len: int = 20) -> DataFrame:
+def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Code named in a text: a six-digit code wins, else the longest known name contained in it.
 
-    Every substring up to the longest name length is a key, so the match is an equi join and not
-    a comparison of every text with every name."""
+    The pieces of a text that have the length of some name are keys, so the match is an equi join
+    and not a comparison of every text with every name. Only the distinct name lengths (a few
+    numbers) reach the driver."""
     asked = questions.withColumns({"direct": six_digits("text", standalone=True), "clean": comparable_name("text")})
-    known = names.select(F.col("code").alias("hit"), comparable_name("name").alias("gram")).where(
-        F.length("gram").between(2, max_len))
-    grams = asked.where(F.col("direct").isNull()).select("question_id", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(2), F.lit(max_len)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("clean") - n + 1)),
-                              lambda i: F.substring(F.col("clean"), i, n)))))).alias("gram"))
-    best = grams.join(known, "gram").groupBy("question_id").agg(
-        F.max_by("hit", F.struct(F.length("gram"), "hit")).alias("named"))
+    known = names.select(F.col("code").alias("hit"), comparable_name("name").alias("piece")).where(F.length("piece") >= 2)
+    lengths = [row["n"] for row in known.select(F.length("piece").alias("n")).distinct().collect()]
+    open_texts = asked.where(F.col("direct").isNull()).select("question_id", "clean")
+    sized = open_texts.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
+    starts = sized.where(F.length("clean") >= F.col("n")).withColumn(
+        "i", F.explode(F.sequence(F.lit(1), F.length("clean") - F.col("n") + 1)))
+    pieces = starts.select("question_id", F.substring(F.col("clean"), F.col("i"), F.col("n")).alias("piece"))
+    best = pieces.join(known, "piece").groupBy("question_id").agg(
+        F.max_by("hit", F.struct(F.length("piece"), "hit")).alias("named"))
     return asked.join(best, "question_id", "left").select(
         "question_id", F.coalesce("direct", "named").alias("code"))
 
