@@ -1,15 +1,17 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of hashes of its distinct word shingles. Every shingle flips one bit of a sketch, so the Hamming
-distance of two sketches never exceeds the size of the sets' symmetric difference. Sets that link at Jaccard t have a
-symmetric difference of at most (1 - t) / t times the smaller size. Within a band of sizes whose smaller member has at
-most m shingles that is at most d = floor(m (1 - t) / t), so of d + 1 sketch words one at least is equal in both
-(pigeonhole): the words are the join keys. Candidates are verified on the exact sets.
+A document is the set of hashes of its distinct word shingles. A sketch deals the shingles to K words and XORs them
+there, so the number of words in which two sketches differ never exceeds the size of the sets' symmetric difference.
+Sets that link at Jaccard t have a symmetric difference of at most (1 - t) / t times the smaller size; within a band of
+sizes whose smaller member has at most m shingles that is at most d = floor(m (1 - t) / t). Of K = d + 1 + e words,
+e + 1 at least are equal in both (pigeonhole), so a set with at most e light words (too few shingles to tell sets apart)
+shares a word that is not light with every partner: those words are the join keys. A set with more light words is dealt
+again with the next seed; the last seed uses the light words too. Candidates are verified on the exact sets.
 
 Large groups: equal sets are one class first. Of the classes that share a key, the one with most shared keys is the
 pivot; the others are verified against it alone. After that only classes of one key that are still in different
-components are compared with each other, behind the Hamming distance of a folded sketch. So no link between components
-is lost and the pairs of a group are never listed.
+components are compared with each other, behind the Hamming distance of folded bit sketches. So no link between
+components is lost and the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch, arrow_batches, mix, by_ids, slices, texts
+from barloom.llm.common import Scratch, arrow_batches, by_ids, mix, slices, texts
 from barloom.llm.graph import components
 
-BAND_RATIO = 1.5
+BAND_RATIO, SEEDS = 1.5, 4
 FOLD_WORDS = 16
 WORD_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 SHINGLE_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -88,21 +90,42 @@ def parity(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+@lru_cache(maxsize=4096)
+def band_plan(band: int, threshold: float) -> tuple[int, int, int]:
+    """Largest size whose home the band is, most differing shingles of a linked pair, and spare words."""
+    most = math.ceil(BAND_RATIO ** (band + 1) - 1e-9) - 1
+    d = math.floor(most * (1 - threshold) / threshold + 1e-9)
+    return most, d, 1 + math.ceil((0.1 if threshold >= 0.85 else 0.2) * d)
+
+
 def band_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
-    """Join keys: the sketch words of the set's own size band, and of the band below if a partner may lie there."""
+    """Join keys: sketch words for the set's own size band, and for every band below that may hold a partner."""
     n, out = len(hashes), []
     if n == 0:
         return np.zeros(0, np.uint64)
-    home = int(math.floor(math.log(n) / math.log(BAND_RATIO) + 1e-9))
-    below = n * threshold < BAND_RATIO ** home + 1e-6
-    for band in (home, home - 1) if below else (home,):
-        d = int(math.floor(BAND_RATIO ** (band + 1) * (1 - threshold) / threshold + 1e-6))
+    least = 2 if threshold / (1 - threshold) >= 6 else 1
+    band = math.floor(math.log(n) / math.log(BAND_RATIO) + 1e-9)
+    while n > band_plan(band, threshold)[0]:
+        band += 1
+    while band >= 0 and n * threshold <= band_plan(band, threshold)[0] + 1e-9:
+        _, d, spare = band_plan(band, threshold)
         if d == 0:  # only equal sets link, and those are one class
-            continue
-        sketch = parity(mix(hashes + np.uint64(band + 1)), d + 1)
-        place = np.arange(d + 1, dtype=np.uint64) + np.uint64((band + 1) << 32)
-        out.append(mix(sketch ^ mix(place)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            break
+        k = d + 1 + spare
+        for seed in range(SEEDS):
+            place = np.uint64((band * SEEDS + seed + 1) << 40)
+            dealt = mix(hashes + place)
+            at = (dealt % np.uint64(k)).astype(np.int64)
+            words = np.zeros(k, np.uint64)
+            np.bitwise_xor.at(words, at, mix(dealt))
+            light = np.bincount(at, minlength=k) < least
+            enough = np.count_nonzero(light) <= spare
+            used = np.flatnonzero(~light) if enough or seed < SEEDS - 1 else np.arange(k)
+            out.append(mix(words[used] ^ mix(used.astype(np.uint64) + place)))
+            if enough:
+                break
+        band -= 1
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -126,6 +149,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _apart(x: str, y: str) -> Column:
+    """Hamming distance of two folded sketches; at most the symmetric difference."""
+    return sum((F.bit_count(F.col(f"{x}.f{i}").bitwiseXOR(F.col(f"{y}.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+
+
 def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): components of documents linked at Jaccard >= threshold.
@@ -133,84 +165,86 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
     A-Z are lower-cased; words are runs of bytes outside 0x20 and 0x09-0x0D. component_id is the smallest doc_id
     reachable, n_copies the number of documents with the same set. Null, empty and word-free texts have no shingles
     and are linked with nothing. Rows without an id are returned with a null component and link nothing; rows that
-    repeat an id are each a row of the result. Empty input gives an empty result; other columns are ignored.
+    repeat an id are one document with the links of all of them, and each a row of the result. Empty input gives an
+    empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    scratch = Scratch(spark)
-    low, t = texts(docs, id_col, text_col), threshold
+    scratch, low = Scratch(spark), texts(docs, id_col, text_col)
+    per, of = round(threshold * 1000), 1000  # integers, so that a pair exactly at the threshold is decided right
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, words):
-                classes = [_class(s) for s in sets]
+                made = [_class(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()),
-                     _lists([band_keys(s, t) for s in sets]), _lists([parity(s, FOLD_WORDS) for s in sets])],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys", "fold"])
+                     pa.array([c[0] for c in made], pa.int64()), pa.array([c[1] for c in made], pa.int64())],
+                    ["doc_id", "n_shingles", "h1", "h2"])
 
-    signed = scratch.keep(low.mapInArrow(sketches, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, fold array<long>"), "signed")
-    linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.keep(linkable.groupBy("h1", "h2", "n_shingles").agg(
-        F.min("doc_id").alias("low"), F.count("*").alias("n_copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    rep = (linkable.join(classes.select("h1", "h2", F.col("low").alias("doc_id"), "node"), ["h1", "h2", "doc_id"])
-           .dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "keys", "fold"))
-    rep = scratch.keep(rep, "rep")
-    # classes that share a key with another
-    entry = rep.select("node", "n", F.explode("keys").alias("key"))
-    shared = entry.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    shared = scratch.keep(shared, "shared")
-    central = shared.groupBy("node").agg(F.sum("c").alias("score"))
-    involved = scratch.keep(central.join(classes, "node").select("node", "score", "low", "h1", "h2"), "involved")
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _sets(batch, words):
+                keys = [band_keys(s, threshold) for s in sets]
+                rows = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows.astype(np.int64))], ["key", "node"])
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, words):
-                made = [_class(s) for s in sets]
+                folds = np.stack([parity(s, FOLD_WORDS) for s in sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[0] for c in made], pa.int64()), pa.array([c[1] for c in made], pa.int64()), _lists(sets)], ["h1", "h2", "members"])
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets),
+                     *[pa.array(folds[:, i].copy()) for i in range(FOLD_WORDS)]],
+                    ["node", "n", "members", *[f"f{i}" for i in range(FOLD_WORDS)]])
 
-    wanted = by_ids(low, involved.select(F.col("low").alias("doc_id")).distinct(), "doc_id")
-    exact = scratch.keep(wanted.mapInArrow(set_rows, "h1 long, h2 long, members array<long>")
-                         .join(involved.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "members"), "exact")
+    signed = scratch.keep(low.mapInArrow(sizes, "doc_id long, n_shingles long, h1 long, h2 long"), "signed")
+    linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = scratch.keep(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies")), "classes")
+    # one document of each class gives keys; classes that share none are done
+    copies = scratch.keep(linkable.join(classes, ["h1", "h2"]).where("doc_id <> node").select("doc_id").distinct()
+                          .join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti"), "copies")
+    keyed = by_ids(low.where("doc_id IS NOT NULL"), copies, "doc_id", "left_anti").mapInArrow(key_rows, "key long, node long")
+    counted = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    shared = scratch.keep(counted, "shared")
+    central = scratch.keep(shared.groupBy("node").agg(F.sum("c").alias("score")), "central")
+    folds = ", ".join(f"f{i} long" for i in range(FOLD_WORDS))
+    exact = scratch.keep(by_ids(low, central.select(F.col("node").alias("doc_id")), "doc_id")
+                         .mapInArrow(set_rows, f"node long, n long, members array<long>, {folds}"), "exact")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = (pairs.join(exact.select(F.col("node").alias("a"), F.col("members").alias("sa")), "a")
-                .join(exact.select(F.col("node").alias("b"), F.col("members").alias("sb")), "b"))
+        pairs = scratch.keep(pairs, f"{name}_pairs")
+        members = by_ids(exact.select(F.col("node").alias("doc_id"), "members"), _keys_of(pairs), "doc_id")
+        both = (pairs.join(members.toDF("a", "sa"), "a").join(members.toDF("b", "sb"), "b"))
         same, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        # integers, so that a pair exactly at the threshold is decided right
-        per, of = round(t * 1000), 1000
         return scratch.keep(both.where(same * of >= per * (total - same)).select("a", "b"), name)
 
-    scored = shared.join(involved.select("node", "score"), "node")
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("m"))).alias("p")).select("key", F.negative("p.m").alias("a"))
-    sizes = rep.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    star = (shared.join(pivots, "key").where("a <> node").select("a", F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-            .join(sizes, "a").where(f"least(na, nb) * 1000 >= {round(t * 1000)} * greatest(na, nb)").select("a", "b"))
-    edges = verified(star, "star")
-    first = components(edges, scratch, "first")
+    pivots = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("m"))).alias("p"))
+    n = exact.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))  # more than one row only for repeated ids
+    star = shared.join(pivots.select("key", F.negative("p.m").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    star = (star.join(n.toDF("a", "alo", "ahi"), "a").join(n.toDF("b", "blo", "bhi"), "b")
+            .where(f"ahi * {of} >= {per} * blo AND bhi * {of} >= {per} * alo").select("a", "b"))
+    # an id on several texts ties their classes together
+    owned = linkable.join(classes, ["h1", "h2"]).select("doc_id", "node").distinct()
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("doc_id", "a")
+    tied = owned.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    first = components(verified(star, "star").union(tied), scratch, "first")
     # what is left: classes of one key in different components
-    placed = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(spread, "key").join(rep.select("node", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD_WORDS)]), "node")
-    rest = scratch.keep(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+    rest = scratch.keep(placed.join(spread, "key").distinct().join(exact.drop("members"), "node"), "rest")
     least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                  & (least * 1000 >= round(t * 1000) * most) & (apart * round(t * 1000) <= least * (1000 - round(t * 1000))))
+    left = rest.alias("x").join(rest.alias("y"), (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+        & (least * of >= most * per) & (_apart("x", "y") * per <= least * (of - per))))
     more = verified(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "more")
     # links between components; nodes the first round did not link stand for themselves
-    of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(joined.distinct(), scratch, "second").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    placed = (classes.select("h1", "h2", "node", "low", "n_copies").join(first, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")).join(second, "component", "left")
-              .withColumn("component", F.coalesce("whole", "component")))
-    smallest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = placed.join(smallest, "component").select("h1", "h2", "component_id", "n_copies")
-    linked = linkable.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "n_copies")
+    at = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    joined = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = components(joined.distinct(), scratch, "second").toDF("component", "whole")
+    placed = (classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+              .join(second, "component", "left").select("h1", "h2", "n_copies", F.coalesce("whole", "component").alias("component_id")))
+    linked = linkable.join(placed, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "n_copies")
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     out = scratch.keep(linked.unionByName(alone), "out")
