@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.llm import language as lg
+from barloom.llm import mixing as mx
 from barloom.llm import ngram_join as nj
+from barloom.llm import packing as pk
+from barloom.llm import pseudonyms as ps
 from barloom.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +31,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+WORD_BPE = "word_bpe_49k.json"
+
+
+@query("op1_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pk.packed(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op3_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -36,6 +48,19 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", (crc_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_mixing", mx.mixture_sql())
+def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mx.mixture(table(spark, folder, "documents"))
+
+
+PSEUDONYM_KEY = "barloom"
+
+
+@query("op5_pseudonyms")
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return ps.pseudonymised(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return nj.linked_components(table(spark, folder, "documents"), threshold=0.9, words=3).select("doc_id", "n_shingles", "component_id")
