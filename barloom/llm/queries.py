@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm import language as lg
 from barloom.llm import mixing as mx
 from barloom.llm import ngram_join as nj
+from barloom.llm import outliers as ol
 from barloom.llm import packing as pk
 from barloom.llm import pseudonyms as ps
+from barloom.llm import sharding as sh
+from barloom.llm import toxicity as tx
 from barloom.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +44,14 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op2_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = tx.train(docs, labels, crc_remainder(3) != 1)
+    return tx.scored(docs, model).select("doc_id", (crc_remainder(3) == 1).alias("held_out"), "score",
+                                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @query("op3_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -61,6 +73,18 @@ def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return ps.pseudonymised(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
 
 
+@query("op7_balanced_shards")
+def balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sh.sharded(table(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
+@query("op8_robust_outliers")
+def robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return ol.judged(table(spark, folder, "documents"))
+
+
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return nj.linked_components(table(spark, folder, "documents"), threshold=0.9, words=3).select("doc_id", "n_shingles", "component_id")
