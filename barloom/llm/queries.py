@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm import chat as ct
 from barloom.llm import language as lg
 from barloom.llm import mixing as mx
 from barloom.llm import ngram_join as nj
@@ -16,7 +17,7 @@ from barloom.llm import packing as pk
 from barloom.llm import pseudonyms as ps
 from barloom.llm import sharding as sh
 from barloom.llm import toxicity as tx
-from barloom.llm.common import crc_remainder
+from barloom.llm.common import Scratch, crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,6 +74,19 @@ def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return ps.pseudonymised(table(spark, folder, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
 
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
+
+@query("op6_chat_prefix_tree")
+def chat_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path, scratch = public_tokenizers.path(BYTE_BPE), Scratch(spark)
+    nodes, members = ct.prefix_trees(turns, path, public_tokenizers.PATTERN, scratch)
+    return ct.read_back(nodes, members, path, public_tokenizers.PATTERN)
+
+
 @query("op7_balanced_shards")
 def balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sh.sharded(table(spark, folder, "documents"))
