@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import chat as ct
 from barloom.llm import language as lg
+from barloom.llm import media as md
 from barloom.llm import mixing as mx
 from barloom.llm import ngram_join as nj
 from barloom.llm import outliers as ol
@@ -99,6 +100,21 @@ def robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return ol.judged(table(spark, folder, "documents"))
 
 
+@query("op9_image_copies")
+def image_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Images drawn from all embeddings; the edited crop of every twentieth is searched among all."""
+    scratch = Scratch(spark)
+    images = scratch.keep(md.rendered(table(spark, folder, "embeddings"), "vec_id", "embedding"), "images")
+    of = scratch.keep(md.classes(images), "classes")
+    one = images.join(of.where("id = class_id"), "id").dropDuplicates(["id"]).select("id", "width", "height", "pixels")
+    found = md.copies(md.edited(images.where("id % 20 = 0")), one, scratch)
+    best = found.groupBy(F.col("query_id").alias("id")).agg(
+        F.count("*").alias("n_links"), F.max(F.struct("inliers", F.negative("image_id").alias("m"))).alias("b"))
+    return of.join(best, "id", "left").select(
+        F.col("id").alias("vec_id"), "class_id", (F.col("id") % 20 == 0).alias("searched"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.negative("b.m").alias("best_class"), F.col("b.inliers").alias("inliers"))
+
+
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return nj.linked_components(table(spark, folder, "documents"), threshold=0.9, words=3).select("doc_id", "n_shingles", "component_id")
