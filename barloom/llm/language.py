@@ -168,7 +168,7 @@ def train(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, lang_pred, score, support) per row. A text that is null or has no letters is ``und`` with score 0.
+    """(doc_id, lang_pred, score, support) per row. A text that is null or has no letters is ``und`` with score 0.
     score is the winner's part of all corrected shares; support the winner's corrected share. Of equal shares the first
     language by name wins; a text none of whose n-grams is held gets the first language by name with score 0."""
     arrow_batches(docs.sparkSession)

@@ -99,20 +99,26 @@ def distance() -> Column:
     return sum((r * r for r in rows), F.lit(0.0))
 
 
+def beside(rows: DataFrame, groups: DataFrame, bound: int = 50_000) -> DataFrame:
+    """rows joined with one row per group; up to ``bound`` groups (a few hundred bytes each, counted) are broadcast, so
+    a hot group's rows stay where they are."""
+    return rows.join(F.broadcast(groups) if groups.count() <= bound else groups, "g")
+
+
 def estimates(points: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
     """(g, m*, v*_*, scale) of points (g, x*): all groups at once, one aggregation with partial sums per step."""
     mid = lambda c, p=0.5: F.percentile_approx(c, F.lit(p), F.lit(2000))
     centre = scratch.keep(points.groupBy("g").agg(*[mid(x).alias(f"m{i}") for i, x in enumerate(NAMES)]), "centre")
-    spread = points.join(centre, "g").groupBy("g").agg(
+    spread = beside(points, centre).groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[(1.4826 * mid(F.abs(F.col(x) - F.col(f"m{i}")))).alias(f"s{i}") for i, x in enumerate(NAMES)])
     for i in range(P):
         for j in range(i + 1):
             spread = spread.withColumn(f"c{i}_{j}", F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0))
     est = scratch.keep(factored(spread), "est_start")
     for s in range(steps):
-        near = points.join(est, "g").withColumn("d", distance())
+        near = beside(points, est).withColumn("d", distance())
         cut = scratch.keep(near.groupBy("g").agg(mid("d", H).alias("cut")), f"cut_{s}")
-        inner = near.join(cut, "g").where("d <= cut")
+        inner = beside(near, cut).where("d <= cut")
         # centred on the last means, so the squares do not cancel
         off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(NAMES)]
         sums = inner.groupBy("g").agg(*[F.first(f"m{i}").alias(f"o{i}") for i in range(P)], *[F.avg(off[i]).alias(f"a{i}") for i in range(P)],
@@ -122,7 +128,7 @@ def estimates(points: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFr
             for j in range(i + 1):
                 sums = sums.withColumn(f"c{i}_{j}", F.col(f"q{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}"))
         est = scratch.keep(factored(sums), f"est_{s}")
-    scale = points.join(est, "g").withColumn("d", distance()).groupBy("g").agg((mid("d") / MEDIAN_CHI2_5).alias("scale"))
+    scale = beside(points, est).withColumn("d", distance()).groupBy("g").agg((mid("d") / MEDIAN_CHI2_5).alias("scale"))
     return scratch.keep(est.join(scale, "g").withColumn("scale", F.greatest("scale", F.lit(1.0))), "estimates")
 
 
@@ -144,7 +150,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text
     for i, t in enumerate(tables):
         own = own.join(t, f"g{i}", "left")
     own = own.withColumn("g", F.when(F.col("has0"), F.col("g0")).when(F.col("has1"), F.col("g1")).otherwise(F.col("g2")))
-    far = own.join(est, "g").select("rid", (distance() / F.col("scale")).alias("distance"))
+    far = beside(own, est).select("rid", (distance() / F.col("scale")).alias("distance"))
     out = stats.join(far, "rid", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"), F.round("distance", 4).alias("distance"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import Scratch
 
 SHARDS, BUCKETS, ROUNDS, ROW_BYTES = 40, 1024, 4, 16
-#: Part of an even shard that linked documents may fill while they move.
-QUOTA = 0.95
+#: Part of an even shard that linked documents may fill while they move; with less room than that a shard is closed.
+QUOTA, LEAST_ROOM = 0.95, 0.05
 
 
 def bucket(*cols: Column | str) -> Column:
@@ -43,7 +43,8 @@ def propagate(linked: DataFrame, scratch: Scratch, even: float, shards: int, rou
     """linked (rid, g, size, shard, ...) with moved shards. Ties go to the shard with the smallest hash for the group."""
     columns = linked.columns
     for i in range(rounds):
-        room = [max(0, int(even * QUOTA) - x) for x in loads(linked, shards)]
+        room = [int(even * QUOTA) - x for x in loads(linked, shards)]
+        room = [x if x >= even * LEAST_ROOM else 0 for x in room]
         if not any(room):
             break
         open_ = [k for k, x in enumerate(room) if x > 0]

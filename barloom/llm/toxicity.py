@@ -24,7 +24,7 @@ from barloom.llm.common import Scratch, arrow_batches, by_ids, slices, unit_hash
 TRAIN_DOCUMENTS, TRAIN_WORDS = 4000, 2000
 #: A word is toxic if its share among toxic texts exceeds that among ordinary ones by so many standard errors in both
 #: halves of the sample. Copies fall into one half, so what only a group of copies holds does not count.
-ERRORS, LEAST = 4.5, 3
+ERRORS, LEAST = 3.5, 3
 LEVEL, FRAME, TOP = 12, "\n\n\n", 3
 #: Margins kept by a worker; more are computed again.
 CACHED = 400_000
