@@ -18,7 +18,7 @@ from barloom.llm import packing as pk
 from barloom.llm import pseudonyms as ps
 from barloom.llm import sharding as sh
 from barloom.llm import toxicity as tx
-from barloom.llm.common import Scratch, crc_remainder
+from barloom.llm.common import Scratch, by_ids, crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,7 +106,7 @@ def image_copies(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     images = scratch.keep(md.rendered(table(spark, folder, "embeddings"), "vec_id", "embedding"), "images")
     of = scratch.keep(md.classes(images), "classes")
-    one = images.join(of.where("id = class_id"), "id").dropDuplicates(["id"]).select("id", "width", "height", "pixels")
+    one = by_ids(images, of.where("id = class_id").select("id").distinct(), "id")
     found = md.copies(md.edited(images.where("id % 20 = 0")), one, scratch)
     best = found.groupBy(F.col("query_id").alias("id")).agg(
         F.count("*").alias("n_links"), F.max(F.struct("inliers", F.negative("image_id").alias("m"))).alias("b"))
