@@ -104,7 +104,7 @@ def robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
 def image_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Images drawn from all embeddings; the edited crop of every twentieth is searched among all."""
     scratch = Scratch(spark)
-    images = scratch.keep(md.rendered(table(spark, folder, "embeddings"), "vec_id", "embedding"), "images")
+    images = md.rendered(table(spark, folder, "embeddings"), "vec_id", "embedding")  # drawn again where used: cheaper than kept
     of = scratch.keep(md.classes(images), "classes")
     one = by_ids(images, of.where("id = class_id").select("id").distinct(), "id")
     found = md.copies(md.edited(images.where("id % 20 = 0")), one, scratch)
