@@ -68,7 +68,7 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", boun
     return df.join(side, key, how).select(df.columns)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``limit`` bytes each; one longer text makes a part of its own."""
     sizes = np.zeros(batch.num_rows, np.int64)
     lengths = pc.binary_length(batch.column(column))

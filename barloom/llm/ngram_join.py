@@ -129,7 +129,7 @@ def band_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in slices(batch, "text", 1 << 20):
+    for part in slices(batch, "text", 1 << 19):
         blobs = [b"" if t is None else t.encode() for t in part.column("text").to_pylist()]
         bounds = np.zeros(len(blobs) + 1, np.int64)
         np.cumsum([len(b) for b in blobs], out=bounds[1:])
