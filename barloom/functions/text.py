@@ -63,9 +63,10 @@ def plain_text(c: Column | str, limit: int | None = 120) -> Column:
     return text if limit is None else F.substring(text, 1, limit)
 
 
-def clean_title(c: Column | str, limit: int = 200) -> Column:
-    """Title with highlight tags removed."""
-    return F.substring(squeeze(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), r"</?em>", "")), 1, limit)
+def clean_title(c: Column | str, limit: int | None = None) -> Column:
+    """Title with highlight tags removed; a limit is for display only."""
+    title = squeeze(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), r"</?em>", ""))
+    return title if limit is None else F.substring(title, 1, limit)
 
 
 @F.pandas_udf(StringType())

@@ -26,7 +26,7 @@ def announcements_on_days(announcements: DataFrame, calendar: DataFrame,
                           classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     seen = announcements.withColumns({
         "visible_at": visible_time("published_at"),
-        "ann_type": keyword_class(F.substring("title", 1, 200), classes),
+        "ann_type": keyword_class("title", classes),
     }).where(F.col("published_at").isNotNull())
     return map_to_trading_day(seen, calendar, "visible_at")
 

@@ -43,7 +43,7 @@ def parse_bar_payloads(payloads: DataFrame, col: str = "payload") -> DataFrame:
         return F.col("r")[i].try_cast("double")
 
     return bars.select(
-        F.substring("id", 3, 100).alias("code"), F.to_date(F.try_to_timestamp(F.col("r")[0], F.lit("yyyy-MM-dd"))).alias("trade_date"),
+        F.expr("substring(id, 3)").alias("code"), F.to_date(F.try_to_timestamp(F.col("r")[0], F.lit("yyyy-MM-dd"))).alias("trade_date"),
         at(1).alias("open"), at(3).alias("high"), at(4).alias("low"), at(2).alias("close"), at(5).alias("volume"),
         F.lit(0.0).alias("amount")).dropna()
 
@@ -63,7 +63,7 @@ def parse_quote_lines(payloads: DataFrame, col: str = "payload") -> DataFrame:
         return lenient_double(F.col("f")[i])
 
     out = df.select(
-        F.substring("id", 3, 100).alias("code"), F.trim(F.col("f")[QUOTE_FIELDS["name"]]).alias("name"),
+        F.expr("substring(id, 3)").alias("code"), F.trim(F.col("f")[QUOTE_FIELDS["name"]]).alias("name"),
         *[strict(n).alias(n) for n in ("open", "high", "low")], loose(QUOTE_FIELDS["close"]).alias("close"),
         *[strict(n).alias(n) for n in ("volume", "pct_change")],
         F.col("f")[QUOTE_FIELDS["quote_time"]].alias("quote_time"),

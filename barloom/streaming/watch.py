@@ -68,18 +68,22 @@ def new_items(items: DataFrame, *, key: str = "event_key", ts: str = "ts", delay
     return items.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def scan_news(batch: DataFrame, ledger: DataFrame, *, newest: int = 8, handled: int = 5) -> DataFrame:
-    """Per code: of the newest items those not in the ledger, at most ``handled``, classified."""
-    top = newest_rows(classify_news(batch), ["code"], [F.desc("ts"), "event_key"], newest).drop("row_no")
+def scan_news(batch: DataFrame, ledger: DataFrame, *, newest: int | None = 8, handled: int | None = 5) -> DataFrame:
+    """Per code: of the newest items those not in the ledger, at most ``handled``, classified. None means all."""
+    def top_of(df: DataFrame, n: int | None) -> DataFrame:
+        return df if n is None else newest_rows(df, ["code"], [F.desc("ts"), "event_key"], n).drop("row_no")
+
+    top = top_of(classify_news(batch), newest)
     fresh = top.join(ledger.select("event_key"), "event_key", "left_anti")
-    return newest_rows(fresh, ["code"], [F.desc("ts"), "event_key"], handled).drop("row_no")
+    return top_of(fresh, handled)
 
 
 def news_batches(handle: Callable[[DataFrame], None], read_ledger: Callable[[], DataFrame],
                  append_ledger: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body for the news scan. The ledger is keyed, so a repeated batch adds nothing."""
+    """foreachBatch body for the news scan. A batch does not come back, so all its items are handled. The ledger is
+    keyed, so a repeated batch adds nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = scan_news(batch, read_ledger())
+        found = scan_news(batch, read_ledger(), newest=None, handled=None)
         handle(found.where(F.col("kind") == "major_news"))
         append_ledger(found.select("event_key", "kind", "code", "title"))
     return run

@@ -193,14 +193,14 @@ def insert_absent(t):
     return mg.insert_absent(base, items, ["code", "title"], ["event_id"])
 
 
-COMMANDS = "SELECT user_id, event_type IN ('click', 'view', 'purchase') AS is_open, ts, value FROM events WHERE event_type <> 'signup'"
+COMMANDS = "SELECT user_id, event_type <> 'error' AS is_open, ts, value FROM events"
 
 
 @query("merge_k06_single_active", f"WITH c AS ({COMMANDS}), s AS (SELECT user_id, arg_max(value, ts) FILTER (WHERE is_open) AS value, max(ts) FILTER (WHERE is_open) AS opened, "
        "max(ts) FILTER (WHERE NOT is_open) AS closed FROM c GROUP BY 1) "
        f"SELECT user_id, {r('value', 'value', 2)}, CASE WHEN closed IS NULL OR closed < opened THEN 'active' ELSE 'closed' END AS status FROM s WHERE opened IS NOT NULL", 2)
 def single_active(t):
-    e = t.table("events").where(F.col("event_type") != "signup")
+    e = t.table("events")
     cmd = e.select("user_id", "value", F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", "close").otherwise("open").alias("command"))
     return mg.fold_commands(cmd, ["user_id"]).select("user_id", "value", "status")
 

@@ -11,7 +11,7 @@ from barloom.operators import research as rs
 from barloom.operators import structured_events as se
 from barloom.operators import technical as tc
 from barloom.operators.signals import calibration_samples, resolve_outcomes
-from barloom.plans.models import apply_calibration, fit_calibration
+from barloom.plans.models import apply_calibration, best_round, fit_calibration, train_ranker
 from barloom.schemas import BARS, check
 from barloom.sources import merge as mg
 from barloom.sources import payloads as pl
@@ -71,8 +71,12 @@ def test_text_and_number_helpers(spark):
 def test_merges(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, s string")
     up = spark.createDataFrame([("b", 2, None), ("c", 3, "z")], "k string, v int, s string")
-    assert sorted(tuple(r) for r in mg.merge_latest(base, up, ["k"]).collect()) == [("a", 1, "x"), ("b", 2, None), ("c", 3, "z")] \
-        or sorted(r.k for r in mg.merge_latest(base, up, ["k"]).collect()) == ["a", "b", "c"]
+    assert sorted(tuple(r) for r in mg.merge_latest(base, up, ["k"]).collect()) == [("a", 1, "x"), ("b", 2, None), ("c", 3, "z")]
+    older = spark.createDataFrame([("a", 0, "old"), ("b", 1, "first"), ("b", 1, "second")], "k string, v int, s string").withColumn("q", F.col("s"))
+    merged = mg.merge_latest(base, older, ["k"], "v", "q")
+    assert {r.k: (r.v, r.s) for r in merged.collect()} == {"a": (1, "x"), "b": (1, "second")}
+    twice = mg.merge_filling(base, older.drop("v"), ["k"], ["s"], "q")
+    assert sorted((r.k, r.s) for r in twice.collect()) == [("a", "old"), ("b", "second")]
     assert {r.k: (r.v, r.s) for r in mg.merge_filling(base, up, ["k"], ["v", "s"]).collect()} == {"a": (1, "x"), "b": (2, "y")}
     assert {r.k: r.v for r in mg.insert_absent(base, up, ["k"]).collect()} == {"a": 1, "b": 1, "c": 3}
     at = [dt.datetime(2024, 1, i) for i in range(1, 6)]
@@ -166,3 +170,18 @@ def test_names_in_texts(spark):
     names = spark.createDataFrame([("000001", "平安"), ("000002", "平安银行"), ("000003", "x")], "code string, name string")
     asks = spark.createDataFrame([(1, "平安银行怎么样"), (2, "看 600519 的走势"), (3, "没有")], "question_id int, text string")
     assert {r.question_id: r.code for r in rs.match_names(asks, names).collect()} == {1: "000002", 2: "600519", 3: None}
+
+
+def test_long_titles_are_classed_whole(spark):
+    df = spark.createDataFrame([("x" * 500 + " <em>profit</em>",)], "title string")
+    assert df.select(tx.keyword_class(tx.clean_title("title"), {"earnings": ("profit",)})).first()[0] == "earnings"
+
+
+def test_boosting_goes_past_one_tree(spark):
+    assert best_round([3.0, 2.0, 2.5, 1.0], 1) == 2 and best_round([3.0, 2.0, 2.5, 1.0], 2) == 4
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=d), f"{c:02d}", float((7 * c + d) % 20), float((3 * c + 5 * d) % 20), float(((7 * c + d) % 20 + (3 * c + 5 * d) % 20) // 4))
+            for d in range(40) for c in range(20)]
+    df = spark.createDataFrame(rows, "trade_date date, code string, x double, y double, label double")
+    bounds = dict(train_end=dt.date(2024, 1, 20), val_start=dt.date(2024, 1, 21), val_end=dt.date(2024, 1, 30), test_start=dt.date(2024, 1, 31))
+    model, scored = train_ranker(df, ["x", "y"], bounds, rounds=5, depth=2, min_rows=5, large=False)  # one such tree cannot hold a sum
+    assert model.getNumTrees > 1 and scored.where("part = 'test' AND score IS NULL").count() == 0
