@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from barloom.session import ensure_checkpoint_dir
 
-#: Rows of one Arrow batch: bounds a worker's memory also where every text is long.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch: they bound a task's memory, in the JVM and in Python, also where every text is long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 class Scratch:
@@ -44,6 +44,7 @@ class Scratch:
 def arrow_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts stays in bounds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

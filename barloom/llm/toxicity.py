@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on words that labelled toxic texts hold significantly more often, one on
-words of ordinary texts. Every window of a text - a framed word - is compressed with both; the difference of lengths is
-its margin. A logistic curve calibrated on labelled texts turns a text's largest margins into a score.
+words of ordinary texts. Every window of a text - a framed word - is compressed with both; its margin is the part of
+what a whole match would save that the toxic dictionary does save, cubed, so that a word which only shares its ending with
+a toxic one counts little. A logistic curve calibrated on labelled texts turns a text's largest margins into a score.
 """
 
 from __future__ import annotations
@@ -43,11 +44,17 @@ class Model:
 
 
 class Margins(dict):
-    """word -> length compressed with the ordinary dictionary minus that with the toxic one."""
+    """word -> margin from 0 to 1: length compressed with the ordinary dictionary minus that with the toxic one, as a part
+    of the same difference for the shortest length of a word in the toxic dictionary, cubed."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         super().__init__()
         self.by = [self.compressor(x) for x in (ordinary, toxic)]
+        self.whole = min((len(self.by[1].compress(self.window(w))) for w in toxic.decode().split(FRAME) if w), default=0)
+
+    @staticmethod
+    def window(word: str) -> bytes:
+        return (FRAME + word + FRAME).encode()
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -55,12 +62,12 @@ class Margins(dict):
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def __missing__(self, word: str) -> int:
-        window = (FRAME + word + FRAME).encode()
-        ordinary, toxic = (len(c.compress(window)) for c in self.by)
+    def __missing__(self, word: str) -> float:
+        ordinary, toxic = (len(c.compress(self.window(word))) for c in self.by)
+        margin = min(1.0, max(0.0, (ordinary - toxic) / max(1, ordinary - self.whole))) ** 3
         if len(self) < CACHED:
-            self[word] = ordinary - toxic
-        return ordinary - toxic
+            self[word] = margin
+        return margin
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Largest margin and the sum of the TOP largest, of all words of the text; zeros without words."""
