@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Scratch, arrow_batches
@@ -106,11 +106,16 @@ def copies(queries: DataFrame, images: DataFrame, scratch: Scratch, consensus: i
     a = q.select("*", keys.alias("e")).select(F.col("e.t").alias("t"), F.col("e.key").alias("key"), *[F.col(c).alias(f"q_{c}") for c in q.columns])
     b = d.select("*", keys.alias("e")).select(F.col("e.t").alias("t"), F.col("e.key").alias("key"), *d.columns)
     apart = sum((F.bit_count(F.col(f"q_k{i}").bitwiseXOR(F.col(f"k{i}"))) for i in range(4)), F.lit(0))
-    met = a.join(b, ["t", "key"]).where(apart <= DISTANCE)
+    first = F.coalesce(*[F.when(F.col(f"q_k{i}") == F.col(f"k{i}"), i) for i in range(4)])  # a match comes out of one table only
+    met = a.join(b, ["t", "key"]).where((apart <= DISTANCE) & (F.col("t") == first))
     ratio = F.col("scale") / F.col("q_scale")
-    shift = [F.floor((F.col(c) - F.col(f"q_{c}") * ratio) / CELL * 2) for c in ("x", "y")]
-    votes = met.select(F.col("q_id").alias("query_id"), F.col("id").alias("image_id"), ratio.alias("ratio"), "q_scale", "q_x", "q_y",
-                       F.explode(F.array(*[F.struct((shift[0] + i).alias("sx"), (shift[1] + j).alias("sy")) for i in (0, 1) for j in (0, 1)])).alias("s"))
+    shift = [F.floor((F.col(c) - F.col(f"q_{c}") * ratio) / CELL * 2).alias(f"s{c}") for c in ("x", "y")]
+    # images with fewer matches than the consensus cannot reach it on one shift
+    of_pair = F.count("*").over(Window.partitionBy("query_id", "image_id", "ratio"))
+    matches = met.select(F.col("q_id").alias("query_id"), F.col("id").alias("image_id"), ratio.alias("ratio"), "q_scale", "q_x", "q_y", *shift)
+    matches = matches.withColumn("matches", of_pair).where(F.col("matches") >= consensus).drop("matches")
+    votes = matches.select("query_id", "image_id", "ratio", "q_scale", "q_x", "q_y",
+                           F.explode(F.array(*[F.struct((F.col("sx") + i).alias("sx"), (F.col("sy") + j).alias("sy")) for i in (0, 1) for j in (0, 1)])).alias("s"))
     # overlapping cells: matches one cell apart meet in one of the four
     counted = votes.distinct().groupBy("query_id", "image_id", "ratio", "s").agg(F.count("*").alias("n")).where(F.col("n") >= consensus)
     return counted.groupBy("query_id", "image_id").agg(F.max("n").alias("inliers"))
