@@ -16,11 +16,13 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT = 10, 20
-#: Share of rows in the estimate, concentration steps, rows that a group needs, and the squared distance of rejection.
-H, STEPS, MIN_GROUP, CUTOFF = 0.75, 6, 200, 60.0
-#: Smallest standard deviation per statistic: keeps estimates regular where nearly all rows hold the same value.
-FLOORS = {"x0": 0.05, "x1": 0.5, "x2": 0.4, "x3": 0.4, "x4": 0.5}
-MEDIAN_CHI2_5 = 4.351
+#: Share of rows in the estimate, concentration steps, and rows that a group needs.
+H, STEPS, MIN_GROUP = 0.75, 6, 200
+#: Quantiles of chi-square with five degrees of freedom: the median, and 99.9 %, the squared distance of rejection.
+MEDIAN_CHI2_5, CUTOFF = 4.351, 20.515
+#: Smallest standard deviation per statistic, near what one count makes of it: a symbol in 1,000 characters, a line in 200
+#: words, a passage of five words twice in 1,000 words. Keeps estimates regular where nearly all rows hold the same value.
+FLOORS = {"x0": 0.05, "x1": 0.5, "x2": 0.1, "x3": 0.4, "x4": 0.7}
 NONE = "(none)"
 
 

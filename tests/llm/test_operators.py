@@ -345,6 +345,16 @@ def test_outliers_by_hand_and_plan(spark):
     assert np.allclose(np.sort(d), np.sort((((x - center) @ low.T) ** 2).sum(axis=1) / m.scale))
 
 
+def test_moderately_bad_rows_are_outliers(spark):
+    """Rows of sf0.1 with 2-25 % symbols, and labelled rows, that pass the base rules."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    rows = outliers.judged(read("documents")).where("NOT base_failed").join(read("labels"), "doc_id", "left")
+    share = F.col("n_symbols") / F.col("word_chars")
+    kept = lambda c: F.avg(F.when(c, F.col("kept").cast("int")))
+    r = rows.agg(kept((share >= 0.02) & (share <= 0.25)).alias("moderate"), kept(F.col("quality") == 0).alias("bad"), kept(F.col("quality") == 1).alias("good")).first()
+    assert r.moderate <= 0.02 and r.bad <= 0.05 and r.good >= 0.99
+
+
 def test_native_operators_run_no_python(spark, docs):
     for df in (pseudonyms.pseudonymised(docs, "k"), sharding.sharded(docs), outliers.judged(docs)):
         assert not re.search("Python|InPandas|InArrow", df._jdf.queryExecution().executedPlan().toString())
