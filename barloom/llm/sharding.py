@@ -1,12 +1,13 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
 Documents with equal text are linked. Each starts in a shard by hash; in every round the linked documents propose to
-move to the shard that holds most of their group, and a shard takes as many bytes as its quota leaves. A group larger
-than a quota is admitted row by row, so it fills as few shards as it can. What lies over a shard's even part is given
+move to the shard that holds most of their group, and a shard takes as many bytes as its quota and what leaves it allow;
+rounds go on until no move is admitted. A group larger than an eighth of a shard is admitted row by row, so it fills as
+few shards as it can. What lies over a shard's even part is given
 back, and the documents without links fill the shards up to equal bytes, large ones first.
 
 All sums over shards are taken per (shard, bucket) first; bounded tables of SHARDS * BUCKETS rows are all that is
-ordered as one, and SHARDS numbers all that comes to the driver.
+ordered as one, and the bytes per pair of shards all that comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import Scratch
 
-SHARDS, BUCKETS, ROUNDS, ROW_BYTES = 40, 1024, 4, 16
-#: Part of an even shard that linked documents may fill while they move; with less room than that a shard is closed.
+SHARDS, BUCKETS, ROW_BYTES = 40, 1024, 16
+#: Part of an even shard that linked documents may fill while they move, and the room of a shard open to larger groups.
 QUOTA, LEAST_ROOM = 0.95, 0.05
 
 
@@ -31,39 +32,74 @@ def loads(df: DataFrame, shards: int) -> list[int]:
     return [int(held.get(i) or 0) for i in range(shards)]
 
 
-def _admitted(wish: DataFrame, target: str, room: list[int]) -> DataFrame:
-    """(target, bucket) that fit into the room of their target, in order of buckets."""
+def _admitted(held: DataFrame, target: str, room: list[int]) -> DataFrame:
+    """(target, bucket) of held (target, bucket, b) that fit into the room of their target, small buckets first."""
     free = F.array(*[F.lit(int(x)).cast("long") for x in room])
-    held = wish.groupBy(target, "bucket").agg(F.sum("size").alias("b"))
-    up_to = F.sum("b").over(Window.partitionBy(target).orderBy("bucket"))
+    up_to = F.sum("b").over(Window.partitionBy(target).orderBy("b", "bucket"))
     return held.withColumn("up_to", up_to).where(F.col("up_to") <= F.element_at(free, F.col(target) + 1)).select(target, "bucket")
 
 
-def propagate(linked: DataFrame, scratch: Scratch, even: float, shards: int, rounds: int) -> DataFrame:
-    """linked (rid, g, size, shard, ...) with moved shards. Ties go to the shard with the smallest hash for the group."""
-    columns = linked.columns
-    for i in range(rounds):
-        room = [int(even * QUOTA) - x for x in loads(linked, shards)]
-        room = [x if x >= even * LEAST_ROOM else 0 for x in room]
-        if not any(room):
+def _swaps(flows: dict[tuple[int, int], int], load: list[int], cap: list[float]) -> list[int]:
+    """Bytes each shard may take when what leaves it makes room: the largest parts of the wishes that keep every cap."""
+    shards = range(len(load))
+    into = [sum(b for (_, t), b in flows.items() if t == k) for k in shards]
+    part = [1.0] * len(load)
+    for _ in range(200):
+        left = [sum(b * part[t] for (s, t), b in flows.items() if s == k) for k in shards]
+        new = [min(part[k], max(0.0, cap[k] - load[k] + left[k]) / into[k]) if into[k] else 1.0 for k in shards]
+        if max(x - y for x, y in zip(part, new)) < 1e-6:
             break
-        open_ = [k for k, x in enumerate(room) if x > 0]
-        votes = linked.groupBy("g", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-        best = votes.groupBy("g").agg(
-            F.max(F.when(F.col("shard").isin(open_), F.struct("n", F.xxhash64("g", "shard").alias("t"), "shard"))).alias("top"), F.sum("b").alias("whole"))
+        part = new
+    return [int(x * b) for x, b in zip(part, into)]
+
+
+def _flows(held: DataFrame) -> dict[tuple[int, int], int]:
+    return {(r["shard"], r["target"]): r["b"] for r in held.groupBy("shard", "target").agg(F.sum("b").alias("b")).collect()}
+
+
+def propagate(linked: DataFrame, scratch: Scratch, even: float, shards: int) -> DataFrame:
+    """linked (rid, g, size, shard, whole, ...) with moved shards, in rounds until no move is admitted. Ties go to the
+    shard with the smallest hash for the group.
+
+    Moves are admitted against the room of a shard and what leaves it in the round, so full shards swap. When no swap is
+    left, groups turn to the shards that hold room for them. Every move brings rows to where at least as many of their
+    group are, so the rounds end."""
+    columns, load, swapping, i = linked.columns, loads(linked, shards), True, 0
+    while True:
+        cap = [max(even * QUOTA, x) for x in load]
+        room = [max(0, int(c) - x) for c, x in zip(cap, load)]
+        free = F.element_at(F.array(*[F.lit(x).cast("long") for x in room]), F.col("shard") + 1)
+        open_ = F.lit(True) if swapping else free >= F.least(F.col("whole"), F.lit(int(even * LEAST_ROOM)))
+        votes = linked.groupBy("g", "shard").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
+        best = votes.groupBy("g").agg(F.max(F.when(open_, F.struct("n", F.xxhash64("g", "shard").alias("t"), "shard"))).alias("top"))
         there = votes.select("g", "shard", F.col("n").alias("own_n")).join(best, "g")
         wish = (linked.join(there, ["g", "shard"]).withColumn("target", F.col("top.shard"))
                 .withColumn("moves", (F.col("target") != F.col("shard")) & (F.struct("top.n", "top.t") > F.struct("own_n", F.xxhash64("g", "shard"))))
                 .withColumn("bucket", F.when(F.col("whole") > even / 8, bucket("g", "rid")).otherwise(bucket("g"))))
         wish = scratch.keep(wish.select(*columns, "target", "moves", "bucket"), f"wish_{i}")
-        yes = _admitted(wish.where("moves"), "target", room).withColumn("yes", F.lit(True))
-        moved = wish.join(F.broadcast(yes), ["target", "bucket"], "left")  # at most shards * BUCKETS rows
-        moved = moved.withColumn("shard", F.when(F.col("moves") & F.col("yes"), F.col("target")).otherwise(F.col("shard")))
-        before = linked
-        linked = scratch.keep(moved.select(*columns), f"linked_{i}")
-        if wish.where("moves").join(F.broadcast(yes), ["target", "bucket"]).isEmpty():
-            return before
-    return linked
+        by_source = scratch.keep(wish.where("moves").groupBy("shard", "target", "bucket").agg(F.sum("size").alias("b")), f"moves_{i}")
+        held = by_source.groupBy("target", "bucket").agg(F.sum("b").alias("b"))
+        wanted, aim, bound = _flows(by_source), cap, [max(even, x) for x in load]
+        for attempt in range(8):
+            may = _swaps(wanted, load, aim) if swapping and attempt < 7 else room
+            yes = scratch.keep(_admitted(held, "target", may), f"yes_{i}_{attempt}")
+            flows = _flows(by_source.join(F.broadcast(yes), ["target", "bucket"]))  # at most shards * BUCKETS rows
+            after = [x - sum(b for (s, _), b in flows.items() if s == k) + sum(b for (_, t), b in flows.items() if t == k) for k, x in enumerate(load)]
+            if all(x <= y for x, y in zip(after, bound)):
+                break
+            # whole buckets leave less than foreseen: less comes in, at last no more than fits without any swap
+            aim = [c - 1.5 * max(0.0, x - y) for c, x, y in zip(aim, after, bound)]
+        if not flows:
+            if not swapping:
+                return linked
+            swapping = False
+        else:
+            moved = wish.join(F.broadcast(yes.withColumn("yes", F.lit(True))), ["target", "bucket"], "left")
+            moved = moved.withColumn("shard", F.when(F.col("moves") & F.col("yes"), F.col("target")).otherwise(F.col("shard")))
+            linked, load, swapping = scratch.keep(moved.select(*columns), f"linked_{i}"), after, True
+            now = f"linked_{i}"
+            scratch.drop("start", now)
+        i += 1
 
 
 def fill(pool: DataFrame, scratch: Scratch, held: list[int], even: float, shards: int) -> list[DataFrame]:
@@ -91,7 +127,7 @@ def fill(pool: DataFrame, scratch: Scratch, held: list[int], even: float, shards
     return out
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, linked): every row of docs in one of ``shards`` shards of near equal bytes.
 
     size is the text's UTF-8 bytes plus 16. Null texts are linked with nothing, weigh 16 and have crc 0; empty texts are
@@ -105,13 +141,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     facts = scratch.keep(facts.withColumn("rid", F.monotonically_increasing_id()), "facts")
     total = facts.agg(F.sum("size").alias("b")).first()["b"] or 0
     even = total / shards
-    groups = facts.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.lit(True).alias("linked"))
+    groups = facts.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("whole")).where("n > 1").select("g", "whole", F.lit(True).alias("linked"))
     facts = scratch.keep(facts.join(groups, "g", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
                          .withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")), "start")
-    linked = propagate(facts.where("linked"), scratch, even, shards, rounds)
-    # whatever lies over an even part is dealt again
-    linked = linked.withColumn("bucket", bucket("rid"))
-    stays = scratch.keep(_admitted(linked, "shard", [int(even)] * shards).withColumn("stays", F.lit(True)), "stays")
+    linked = propagate(facts.where("linked"), scratch, even, shards)
+    # whatever lies over an even part is dealt again, whole groups where they are small
+    linked = linked.withColumn("bucket", F.when(F.col("whole") > even / 8, bucket("g", "rid")).otherwise(bucket("g")))
+    stays = scratch.keep(_admitted(linked.groupBy("shard", "bucket").agg(F.sum("size").alias("b")), "shard", [int(even)] * shards).withColumn("stays", F.lit(True)), "stays")
     judged = scratch.keep(linked.join(F.broadcast(stays), ["shard", "bucket"], "left").drop("bucket"), "judged")
     settled = judged.where("stays").drop("stays")
     pool = facts.where("NOT linked").unionByName(judged.where("stays IS NULL").drop("stays"))

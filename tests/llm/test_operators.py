@@ -308,6 +308,20 @@ def test_a_hot_group_is_split_over_few_shards(spark):
     assert sum(sorted(hot.values())[-6:]) >= 800
 
 
+def test_groups_stay_whole_where_nearly_all_texts_repeat(spark):
+    """93 % of the bytes in groups of 20 equal texts, 40 shards."""
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.format_string(
+        "%06d text of one length", F.when(F.col("id") < 18600, F.col("id") % 930).otherwise(F.col("id"))).alias("text"))
+    rows = sharding.sharded(df).collect()
+    load, of = Counter(), defaultdict(set)
+    for r in rows:
+        load[r.shard] += r["size"]
+        if r.linked:
+            of[r.text_crc32].add(r.shard)
+    assert len(rows) == 20000 and len(of) == 930 and max(load.values()) <= 1.05 * sum(load.values()) / 40
+    assert sum(len(s) == 1 for s in of.values()) >= 0.9 * 930
+
+
 def test_statistics(spark, docs, texts):
     more = ["l1\nl1\n \n \nl2\nl1", "a b c d e a b c d e", "a a a a a a a", "# * $\x0b%&|<>\n\n" + "x y z v w " * 3]
     df = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame([(1000 + i, t, None, None) for i, t in enumerate(more)], "doc_id long, text string, lang string, source string"))
