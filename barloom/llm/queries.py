@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.llm import chat as ct
 from barloom.llm import language as lg
 from barloom.llm import media as md
+from barloom.llm import merkle as mk
 from barloom.llm import mixing as mx
 from barloom.llm import ngram_join as nj
 from barloom.llm import outliers as ol
@@ -118,3 +119,8 @@ def image_copies(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return nj.linked_components(table(spark, folder, "documents"), threshold=0.9, words=3).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_merkle_manifest", mk.manifest_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return mk.manifest(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
