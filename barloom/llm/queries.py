@@ -18,6 +18,7 @@ from barloom.llm import outliers as ol
 from barloom.llm import packing as pk
 from barloom.llm import pseudonyms as ps
 from barloom.llm import sharding as sh
+from barloom.llm import spelling as sp
 from barloom.llm import toxicity as tx
 from barloom.llm.common import Scratch, by_ids, crc_remainder
 
@@ -124,3 +125,8 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_merkle_manifest", mk.manifest_sql())
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return mk.manifest(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+@query("op12_spelling_variants", sp.variants_sql())
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return sp.variants(table(spark, folder, "documents"))
