@@ -20,6 +20,7 @@ from barloom.llm import pseudonyms as ps
 from barloom.llm import sharding as sh
 from barloom.llm import spelling as sp
 from barloom.llm import toxicity as tx
+from barloom.llm import warc as wc
 from barloom.llm.common import Scratch, by_ids, crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,13 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants", sp.variants_sql())
 def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return sp.variants(table(spark, folder, "documents"))
+
+
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+@query("op13_warc_archive", wc.pages_sql())
+def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{Scratch(spark).folder}/archive"
+    wc.archive(table(spark, folder, "pages"), archive, WARC_DATE)
+    return wc.read(spark, archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
