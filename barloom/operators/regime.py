@@ -26,6 +26,13 @@ def current_trend(market: DataFrame, window: int = TREND_WINDOW) -> DataFrame:
     return last.select(F.when((F.col("bars") < window) | F.col("bull"), "bull").otherwise("bear").alias("trend"))
 
 
+def trend_by_date(market: DataFrame, window: int = TREND_WINDOW) -> DataFrame:
+    """(trade_date, trend): ``current_trend`` as seen on every date, so bull while the average is undefined."""
+    rows = F.count("*").over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))
+    flags = trend_flags(market, window).withColumn("__rows", rows)
+    return flags.select("trade_date", F.when((F.col("__rows") < window) | F.col("bull"), "bull").otherwise("bear").alias("trend"))
+
+
 def only_regime(df: DataFrame, flags: DataFrame, bull: bool) -> DataFrame:
     """Rows on dates of one regime; dates the index lacks match neither."""
     return df.join(flags.where(F.col("bull") == bull).select("trade_date"), "trade_date", "left_semi")

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from catalog import behaviour, extra, factors, jobs, panel, storage  # noqa: F401
+from catalog import behaviour, extra, factors, jobs, panel, runs, storage  # noqa: F401
 from catalog.registry import QUERIES, SQL  # noqa: F401
