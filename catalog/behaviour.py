@@ -401,21 +401,28 @@ def j13(t):
     return se.peer_events(sector_events(t), t.sectors(), watch)
 
 
-@query("events_b07_structured", "WITH l AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_acctbal, CAST(s_suppkey % 100 AS INTEGER) AS k FROM supplier) "
-       "SELECT code, 'lockup' AS type, DATE '2001-01-01' + k - 30 AS date, CASE WHEN k >= 30 AND s_acctbal / 1000 >= 3 THEN 'warning' ELSE 'info' END AS level FROM l WHERE k <= 75 "
-       "UNION ALL SELECT code, CASE WHEN s_acctbal > 0 THEN 'insider_buy' ELSE 'insider_sell' END, NULL, CASE WHEN s_acctbal > 0 THEN 'info' ELSE 'warning' END FROM l WHERE s_acctbal <> 0 "
-       "UNION ALL SELECT code, 'preannouncement', DATE '2001-01-01', CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'info' END FROM l "
-       "UNION ALL SELECT code, 'buyback', NULL, 'info' FROM l WHERE k >= 30")
-def b07(t):
+L = "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_acctbal, CAST(s_suppkey % 100 AS INTEGER) AS k FROM supplier"
+STRUCTURED_SQL = (
+    f"SELECT code, 'lockup' AS type, DATE '2001-01-01' + k - 30 AS date, CASE WHEN k >= 30 AND s_acctbal / 1000 >= 3 THEN 'warning' ELSE 'info' END AS level FROM ({L}) WHERE k <= 75 "
+    f"UNION ALL SELECT code, CASE WHEN s_acctbal > 0 THEN 'insider_buy' ELSE 'insider_sell' END, NULL, CASE WHEN s_acctbal > 0 THEN 'info' ELSE 'warning' END FROM ({L}) WHERE s_acctbal <> 0 "
+    f"UNION ALL SELECT code, 'preannouncement', DATE '2001-01-01', CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'info' END FROM ({L}) "
+    f"UNION ALL SELECT code, 'buyback', NULL, 'info' FROM ({L}) WHERE k >= 30")
+
+
+def structured_rows(t):
     s = t.table("supplier").withColumns({"code": F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), "k": (F.col("s_suppkey") % 100).cast("int")})
     day = F.date_add(F.lit("2001-01-01").cast("date"), F.col("k") - 30)
     new_year = F.lit("2001-01-01").cast("date")
-    out = se.structured_events(
+    return se.structured_events(
         "2001-01-01", lockups=s.select("code", day.alias("release_date"), (F.col("s_acctbal") / 1000).alias("float_pct")),
         preannouncements=s.select("code", new_year.alias("adate"), F.when(F.col("k") % 2 == 0, "首亏").otherwise("预增").alias("etype")),
         insider=s.select("code", new_year.alias("adate"), F.col("s_acctbal").alias("shares")),
         buybacks=s.select("code", F.date_add(new_year, F.least(F.col("k") - 60, F.lit(0))).alias("adate")))
-    return out.select("code", "type", "date", "level")
+
+
+@query("events_b07_structured", STRUCTURED_SQL)
+def b07(t):
+    return structured_rows(t).select("code", "type", "date", "level")
 
 
 @query("regime_a20_index_snapshot", with_ctes("bars", m=f"SELECT code, trade_date, close, round((close / lag(close) OVER ({P}) - 1) * 100, 2) AS p1, round((close / lag(close, 5) OVER ({P}) - 1) * 100, 2) AS p5, "

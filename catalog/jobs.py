@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from barloom.operators import propagation as pr
 from barloom.operators import research as rs
 from barloom.operators import technical as tc
-from barloom.operators.asof import latest_per_key
 from barloom.operators.factors import ROBUST
-from barloom.plans.daily_run import daily_run
 from barloom.plans.models import (
     calendar_split, evaluation_bundle, feature_gains, fraction_split, mark_split, train_ranker)
 from barloom.plans.training_panel import training_panel
@@ -311,11 +309,3 @@ def m01(t):
 def m05(t):
     panel, model, _ = ranker(t)
     return feature_gains(model, list(FEATURES), panel)
-
-
-@query("job_b06_daily_run")
-def b06(t):
-    """Daily run over the suppliers: last signal per code, technical score, levels, sentiment."""
-    raw = latest_per_key(t.priced_signals(), ["code"], ["run_ts", "id"]).withColumn("name", F.concat(F.lit("name "), "code"))
-    return daily_run(t.sectors().select("code"), t.bars(), raw.select("code", "name", "action", "confidence", "target_price", "stop_loss"),
-                     t.news(), "2024-01-31 00:00:00")
