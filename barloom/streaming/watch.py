@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.dates import after_close, session_open
 from barloom.functions.rules import (
-    heavy_sell_pressure, news_level, position_alert, price_alert_level, price_triggered, sentiment_direction)
+    enabled_levels, heavy_sell_pressure, news_level, position_alert, price_alert_level, price_triggered, sentiment_direction)
 from barloom.functions.text import is_major_news, news_key
-from barloom.operators.research import newest_rows
 
 
 def in_session(quotes: DataFrame, ts: str = "quote_time") -> DataFrame:
@@ -68,24 +67,43 @@ def new_items(items: DataFrame, *, key: str = "event_key", ts: str = "ts", delay
     return items.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def scan_news(batch: DataFrame, ledger: DataFrame, *, newest: int | None = 8, handled: int | None = 5) -> DataFrame:
-    """Per code: of the newest items those not in the ledger, at most ``handled``, classified. None means all."""
-    def top_of(df: DataFrame, n: int | None) -> DataFrame:
-        return df if n is None else newest_rows(df, ["code"], [F.desc("ts"), "event_key"], n).drop("row_no")
+def news_outcome(levels: Iterable[str] | str = "critical,warning,info") -> Column:
+    """What becomes of a classified item: major_news (told), news_filtered (major, but its level is switched off) or news_seen."""
+    told = F.col("level").isin(*enabled_levels(levels))
+    return F.when(F.col("kind") != "major_news", "news_seen").when(told, "major_news").otherwise("news_filtered")
 
-    top = top_of(classify_news(batch), newest)
-    fresh = top.join(ledger.select("event_key"), "event_key", "left_anti")
-    return top_of(fresh, handled)
 
+LEDGER = "event_key string, code string, ts timestamp, title string, score double, direction string, level string, outcome string, day date, batch_id bigint"
 
-def news_batches(handle: Callable[[DataFrame], None], read_ledger: Callable[[], DataFrame],
-                 append_ledger: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body for the news scan. A batch does not come back, so all its items are handled. The ledger is
-    keyed, so a repeated batch adds nothing."""
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of a news scan; empty where nothing was written yet."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").partitionBy("day", "batch_id").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def news_batches(folder: str, handle: Callable[[DataFrame], None] | None = None, *,
+                 levels: Iterable[str] | str = "critical,warning,info") -> Callable[[DataFrame, int], None]:
+    """foreachBatch body of the news scan: every item not yet in the ledger gets one of three outcomes and is entered.
+
+    The ledger is the state across batches. Its partitions are (day of the item, batch): an item's key holds its time,
+    so a batch is compared with the days it holds only, and a batch that comes again (after a failure between writing
+    and committing) leaves its own earlier entries out of the comparison and writes the same partitions over. Nothing
+    is lost or entered twice, however late it comes. ``handle`` gets the batch's new major items that are told; after a
+    failure it may get them again, under the same ``event_key``.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = scan_news(batch, read_ledger(), newest=None, handled=None)
-        handle(found.where(F.col("kind") == "major_news"))
-        append_ledger(found.select("event_key", "kind", "code", "title"))
+        spark = batch.sparkSession
+        items = classify_news(batch).select("event_key", "code", "ts", "title", "score", "direction", "level", "kind")
+        once = items.groupBy("event_key").agg(F.min(F.struct("code", "ts", "title", "score", "direction", "level", "kind")).alias("r")).select("event_key", "r.*")
+        once = once.withColumn("day", F.to_date("ts"))
+        known = read_ledger(spark, folder).where(F.col("batch_id") != batch_id).select("day", "event_key")
+        fresh = once.join(known, ["day", "event_key"], "left_anti")
+        rows = fresh.withColumns({"outcome": news_outcome(levels), "batch_id": F.lit(batch_id).cast("bigint")}).drop("kind")
+        (rows.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch_id").parquet(folder))
+        if handle is not None:
+            handle(read_ledger(spark, folder).where((F.col("batch_id") == batch_id) & (F.col("outcome") == "major_news")))
     return run
 
 
@@ -99,11 +117,20 @@ def close_summary(now_ts, ledger: DataFrame, pushed: DataFrame, decisions: DataF
     return due.withColumn("one", F.lit(1)).join(any_push, "one", "left_anti").drop("one")
 
 
-def tick_bars(ticks: DataFrame, *, delay: str = "1 hour", ts: str = "ts", price: str = "price",
+def tick_bars(ticks: DataFrame, closes: DataFrame | None = None, *, delay: str = "1 hour", ts: str = "ts", price: str = "price",
               size: str = "size", order: str = "event_id") -> DataFrame:
-    """Daily bars from ticks: windowed aggregation with a watermark, append mode."""
+    """Daily bars from ticks: windowed aggregation with a watermark, append mode.
+
+    A day's bar comes out once, when the watermark (newest time seen, less ``delay``) has passed the day. ``closes`` is a
+    stream of times alone, such as closing notices: they move the watermark without being ticks, so a day, the last one
+    too, closes without a later tick. A tick up to ``delay`` behind the newest time counts; one that is later still
+    counts while its day is open, and is dropped after."""
+    if closes is not None:
+        ticks = ticks.unionByName(closes.select(F.col(ts)), allowMissingColumns=True)
     at = F.struct(ts, order)
-    return (ticks.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), "code").agg(
+    # the condition reads the time, so the optimizer keeps it above the watermark, which closing notices must reach
+    is_tick = F.when(F.col("code").isNotNull(), F.col(ts)).isNotNull()
+    return (ticks.withWatermark(ts, delay).where(is_tick).groupBy(F.window(ts, "1 day"), "code").agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, at).alias("close"), F.sum(size).alias("volume"), F.sum(F.col(price) * F.col(size)).alias("amount"))
         .select("code", F.to_date("window.start").alias("trade_date"), "open", "high", "low", "close", "volume", "amount"))

@@ -176,6 +176,35 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
 
+class Landing:
+    """A folder that fills up part by part; each landing is followed by a run of the stream from its checkpoint to its
+    end, so state and ledger live on across runs."""
+
+    def __init__(self, t, schema):
+        self.t, self.schema = t, schema
+        self.base = f"{ensure_checkpoint_dir(t.spark)}/landing-{uuid.uuid4().hex}"
+        self.paths = {}
+
+    def stream(self, name: str = "in", schema=None):
+        path = self.paths.setdefault(name, f"{self.base}/{name}")
+        schema = self.schema if schema is None else schema
+        self.t.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return self.t.spark.readStream.schema(schema).parquet(path)
+
+    def add(self, df, name: str = "in") -> None:
+        df.write.mode("append").parquet(self.paths[name])
+
+    def run(self, writer) -> None:
+        writer.option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def by_time(df, parts: int = 3):
+    """df cut at equal steps of its time span."""
+    lo, hi = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    step = (hi - lo) // parts + 1
+    return [df.where(F.floor((F.unix_micros("ts") - lo) / step) == i) for i in range(parts)]
+
+
 HITS = ("SELECT 'a' || user_id AS alert_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, ts, CAST(ts AS DATE) AS day FROM events WHERE value > 0 AND CASE WHEN user_id % 2 = 0 THEN value >= 50 ELSE value <= 50 END")
 
 
@@ -185,26 +214,46 @@ def st1(t):
     return run_stream(t, wt.once_a_day(hits)).select("alert_id", "code", "day")
 
 
-@query("stream_st1_batch_twin", f"SELECT alert_id, code, min(ts) AS at FROM ({HITS}) GROUP BY 1, 2, day")
+@query("stream_st1_batch_twin", "SELECT alert_id, code, min(ts) AS at, arg_min(level, ts) AS level FROM (SELECT 'a' || user_id AS alert_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, ts, CAST(ts AS DATE) AS day, "
+       "CASE WHEN user_id % 2 = 0 OR event_type = 'error' THEN 'warning' ELSE 'info' END AS level FROM events WHERE value > 0 AND CASE WHEN user_id % 2 = 0 THEN value >= 50 ELSE value <= 50 END) GROUP BY 1, 2, day")
 def st1b(t):
     hits = wt.triggered_alerts(t.quotes(), t.alerts())
-    return wt.first_per_day(hits).select("alert_id", "code", F.col("at").cast("timestamp_ntz").alias("at"))
+    return wt.first_per_day(hits).select("alert_id", "code", F.col("at").cast("timestamp_ntz").alias("at"), "level")
 
 
-@query("stream_st2_position_alerts", "SELECT DISTINCT 'a' || user_id AS alert_id, CAST(ts AS DATE) AS day FROM events WHERE value > 0 AND (value <= 20 OR value >= 60 * 0.98 OR user_id % 3 = 0)")
-def st2(t):
+def positions(t):
     k = F.col("code").cast("int")
-    positions = t.alerts().drop("trigger_price", "direction").withColumns({
+    return t.alerts().drop("trigger_price", "direction").withColumns({
         "stop_loss": F.lit(20.0), "target_price": F.lit(60.0), "action": F.when(k % 3 == 0, "SELL").otherwise("HOLD"), "confidence": F.lit(0.7)})
-    hits = wt.triggered_positions(t.quotes(event_stream(t)), positions)
+
+
+@query("stream_st2_position_alerts", "SELECT DISTINCT 'a' || user_id AS alert_id, CAST(ts AS DATE) AS day FROM events WHERE value > 0 AND (value <= 20 OR value >= 60 * 0.98 OR user_id % 3 = 0)")
+def st2(t):
+    hits = wt.triggered_positions(t.quotes(event_stream(t)), positions(t))
     return run_stream(t, wt.once_a_day(hits)).select("alert_id", "day")
 
 
-@query("stream_st3_news_scan", with_ctes("news", n="SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts DESC, 'news:' || md5(code || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || title)) AS k FROM news")
-       + "SELECT code, event_id, CASE WHEN coalesce(abs(score) >= 0.8, false) THEN 'major_news' ELSE 'news_seen' END AS kind, CASE WHEN score > 0.08 THEN 'positive' WHEN score < -0.08 THEN 'negative' ELSE 'neutral' END AS direction FROM n WHERE k <= 5")
+@query("stream_st2_batch_twin", "SELECT alert_id, min(ts) AS at, arg_min(reason, ts) AS reason FROM (SELECT 'a' || user_id AS alert_id, ts, CASE WHEN value <= 20 THEN 'stop' WHEN value >= 60 * 0.98 THEN 'target' "
+       "WHEN user_id % 3 = 0 THEN 'sell' END AS reason FROM events WHERE value > 0) WHERE reason IS NOT NULL GROUP BY alert_id, CAST(ts AS DATE)")
+def st2b(t):
+    """Rule order of the position alerts: the first notice of each day and why."""
+    hits = wt.triggered_positions(t.quotes(), positions(t))
+    return wt.first_per_day(hits).select("alert_id", F.col("at").cast("timestamp_ntz").alias("at"), "reason")
+
+
+@query("stream_st3_news_scan", with_ctes("news") + "SELECT DISTINCT code, ts, title, CASE WHEN coalesce(abs(score) >= 0.8, false) THEN CASE WHEN score < -0.08 THEN 'major_news' ELSE 'news_filtered' END ELSE 'news_seen' END AS outcome, "
+       "CASE WHEN score > 0.08 THEN 'positive' WHEN score < -0.08 THEN 'negative' ELSE 'neutral' END AS direction, CASE WHEN abs(score) >= 0.8 THEN CASE WHEN score < -0.08 THEN 'critical' ELSE 'info' END END AS level FROM news")
 def st3(t):
-    ledger = t.news().where(F.lit(False)).select(F.col("title").alias("event_key"))
-    return wt.scan_news(t.news(), ledger).select("code", "event_id", "kind", "direction")
+    """All news in three landings, each holding half of the one before again; the stream restarts after each."""
+    news = t.news().select("event_id", "code", "ts", "title", "score")
+    land = Landing(t, news.schema)
+    ledger = f"{land.base}/ledger"
+    stream, before = land.stream(), None
+    for part in by_time(news):
+        land.add(part if before is None else part.unionByName(before.where("event_id % 2 = 0")))
+        land.run(stream.writeStream.foreachBatch(wt.news_batches(ledger, levels="critical")))
+        before = part
+    return wt.read_ledger(t.spark, ledger).select("code", F.col("ts").cast("timestamp_ntz").alias("ts"), "title", "outcome", "direction", "level")
 
 
 @query("stream_st5_distinct_messages", "SELECT event_id FROM events")
@@ -218,17 +267,22 @@ def st6(t):
     return run_stream(t, wt.in_session(t.quotes(event_stream(t)))).select("event_id")
 
 
-TICK_LAST = "(SELECT date_trunc('day', max(ts)) FROM events)"
-
-
 @query("stream_st7_tick_bars", "SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, CAST(ts AS DATE) AS trade_date, " + ", ".join(
     r(e, n, 2) for e, n in (("first(value ORDER BY ts, event_id)", "open"), ("max(value)", "high"), ("min(value)", "low"), ("last(value ORDER BY ts, event_id)", "close"), ("count(*)", "volume"), ("sum(value)", "amount")))
-    + f" FROM events WHERE ts < {TICK_LAST} GROUP BY 1, 2", 2)
+    + " FROM events GROUP BY 1, 2", 2)
 def st7(t):
-    """Append mode: the last day stays open until the watermark passes it."""
-    ticks = event_stream(t).select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("ts"),
-                                   F.col("value").alias("price"), F.lit(1.0).alias("size"), "event_id")
-    return run_stream(t, wt.tick_bars(ticks)).withColumn("amount", F.round("amount", 2))
+    """All ticks in three landings, then a closing notice that ends the last day."""
+    ticks = t.table("events").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("ts"),
+                                     F.col("value").alias("price"), F.lit(1.0).alias("size"), "event_id")
+    land = Landing(t, ticks.schema)
+    bars = wt.tick_bars(land.stream(), land.stream("closes", "ts timestamp"))
+    out = f"{land.base}/out"
+    for part in by_time(ticks):
+        land.add(part)
+        land.run(bars.writeStream.format("parquet").outputMode("append").option("path", out))
+    land.add(ticks.agg((F.date_trunc("day", F.max("ts")) + F.expr("INTERVAL '1 02' DAY TO HOUR")).alias("ts")), "closes")
+    land.run(bars.writeStream.format("parquet").outputMode("append").option("path", out))
+    return t.spark.read.schema(bars.schema).parquet(out).withColumn("amount", F.round("amount", 2))
 
 
 @query("stream_st4_close_summary", "SELECT count(*) AS checked, count(*) FILTER (WHERE o_orderstatus = 'P') AS holding, 'after_close_summary:2001-08-01' AS event_key FROM orders")
