@@ -104,11 +104,11 @@ def backtest_metrics(periods: DataFrame, *, hold: int = 20, rf: float = 0.02) ->
 
 
 def backtest_deciles(scored: DataFrame, target: str, *, hold: int = 20, k: int = 50,
-                     split_date: str | None = None, large: bool | None = None) -> DataFrame:
+                     split_date: str | None = None) -> DataFrame:
     """Mean target per average-rank decile over the usable rebalance dates."""
     usable = _usable(scored, rebalance_dates(scored, hold, split_date), k, target)
     rows = scored.join(usable.select("trade_date", "segment"), "trade_date")
-    ranked = decile(rows, "score", "trade_date", method="average", large=large)
+    ranked = decile(rows, "score", "trade_date", method="average")
     return (ranked.groupBy("segment", "trade_date", "decile").agg(F.avg(target).alias("m"))
             .groupBy("segment", "decile").agg(F.avg("m").alias("mean_return"), F.count("*").alias("dates")))
 

@@ -1,9 +1,10 @@
 """Cross-sections: ranks, deciles, quantiles and z-scores among the rows of one date.
 
-Each operator has two exact forms. The plain form puts a date's rows into one window
-partition. When some date holds more than ``LARGE_GROUP`` rows, the split form cuts every
-date into value ranges: equal values are counted first (map-side), the ranges are ranked on
-their own, and the size of the ranges below is added. Both give the same numbers.
+One plan serves dates of every size. Equal values of a date are counted first (combined on the map side, so a value that
+a third of the rows share is one row). The counts are cut into value ranges, the more the larger the date; each range is
+ordered on its own, and the rows in the ranges below are added. Range bounds follow from the date's extremes alone, so
+every evaluation of the plan sees the same ones, and nothing runs while a plan is built. The input is read more than
+once: store a panel that is costly to compute.
 """
 
 from __future__ import annotations
@@ -14,82 +15,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import finite
-from barloom.session import cut_lineage
 
-LARGE_GROUP = 2_000_000
-_RANGES = 256
+#: Distinct values of a group that make one range, on average.
+RANGE_ROWS = 4096
+_LAST = 1 << 40
 
 
-def has_large_group(df: DataFrame, by: str = "trade_date", limit: int | None = None) -> bool:
-    """Whether any group exceeds the limit; one number comes back. Callers that derive a panel
-    from a stored table check the table once and pass the answer on as ``large``."""
-    limit = LARGE_GROUP if limit is None else limit
-    row = df.groupBy(by).count().agg(F.max("count").alias("n")).first()
-    return bool(row and row["n"] and row["n"] > limit)
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where missing keys are equal, too; the right side's keys are dropped."""
+    other = right.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(other[f"__on_{i}"]) for i, k in enumerate(keys)]
+    return left.join(other, on, how).drop(*[f"__on_{i}" for i in range(len(keys))])
 
 
-def _resolve(df: DataFrame, by: str, large: bool | None) -> bool:
-    return has_large_group(df, by) if large is None else large
+def _spread(value: Column) -> Column:
+    """Grows with the value (each step of it does, rounding included) and evens out magnitudes."""
+    v = value.cast("double")
+    return F.least(F.signum(v) * F.least(F.log1p(F.abs(v) * 1e6), F.lit(750.0)), F.lit(750.0))
 
 
-def _cuts(df: DataFrame, by: str, col: str, name: str) -> DataFrame:
-    """Range bounds per group, checkpointed so that every later stage sees the same ones."""
-    probs = F.array(*[F.lit(i / _RANGES) for i in range(1, _RANGES)])
-    return cut_lineage(df.where(F.col(col).isNotNull()).groupBy(by).agg(
-        F.array_distinct(F.percentile_approx(col, probs, F.lit(_RANGES * 8))).alias(name)))
+def _range_no(place: Column, low: Column, high: Column, rows: Column) -> Column:
+    """Number of the value range; missing places (not a number) come last."""
+    share = F.coalesce(F.try_divide(place - low, high - low), F.lit(0.0))
+    parts = F.ceil(rows / RANGE_ROWS)
+    return F.when(F.isnan(place), F.lit(_LAST)).otherwise(F.least(F.floor(share * parts), parts - 1))
 
 
-def _range_no(col: str, cuts: str) -> Column:
-    return F.size(F.filter(F.col(cuts), lambda c: c < F.col(col)))
+def _counted(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Distinct (keys, value, ties) with the count of smaller values (``below``) and of the group (``total``)."""
+    place = _spread(F.col(value))
+    known = F.when(~F.isnan(F.col(value).cast("double")), place)
+    extremes = values.groupBy(*keys).agg(F.min(known).alias("__lo"), F.max(known).alias("__hi"), F.count("*").alias("__m"), F.sum("ties").alias("total"))
+    ranged = _joined(values, extremes, keys).withColumn("__range", _range_no(
+        F.when(F.isnan(F.col(value).cast("double")), F.lit(float("nan"))).otherwise(place), F.col("__lo"), F.col("__hi"), F.col("__m"))).drop("__lo", "__hi", "__m")
+    sizes = ranged.groupBy(*keys, "__range").agg(F.sum("ties").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__size")
+    sizes = sizes.select(*keys, "__range", before.alias("__before"))
+    inside = F.sum("ties").over(Window.partitionBy(*keys, "__range").orderBy(value)) - F.col("ties")
+    ranged = ranged.withColumn("__inside", inside)
+    return _joined(ranged, sizes, [*keys, "__range"]).select(
+        *keys, value, "ties", (F.col("__before") + F.col("__inside")).alias("below"), "total")
 
 
-def _counted(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Distinct values of each group with their count, the count of smaller values
-    (``below``) and the group total (``total``)."""
-    values = df.where(F.col(col).isNotNull()).groupBy(by, col).agg(F.count("*").alias("ties"))
-    ranged = values.join(_cuts(df, by, col, "cuts"), by).withColumn("range_no", _range_no(col, "cuts")).drop("cuts")
-    sizes = ranged.groupBy(by, "range_no").agg(F.sum("ties").alias("range_size"))
-    ordered = Window.partitionBy(by).orderBy("range_no")
-    sizes = sizes.withColumns({
-        "range_below": F.sum("range_size").over(ordered) - F.col("range_size"),
-        "total": F.sum("range_size").over(Window.partitionBy(by)),
-    })
-    inside = Window.partitionBy(by, "range_no").orderBy(col)
-    return (ranged.join(sizes, [by, "range_no"])
-            .withColumn("below", F.col("range_below") + F.sum("ties").over(inside) - F.col("ties"))
-            .select(by, col, "ties", "below", "total"))
+def _long(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, place of the column, known value), one row per cell."""
+    cells = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.select(*keys, F.posexplode(cells).alias("feature", "value")).where(F.col("value").isNotNull())
 
 
-def pct_rank(df: DataFrame, cols: Mapping[str, str] | Sequence[str], by: str = "trade_date", *,
-             large: bool | None = None) -> DataFrame:
+def pct_rank(df: DataFrame, cols: Mapping[str, str] | Sequence[str], by: str = "trade_date") -> DataFrame:
     """Average rank over count, in (0, 1]. Missing values keep no rank. ``cols`` maps the
     source column to the new name (a plain list replaces the columns)."""
     names = dict(cols) if isinstance(cols, Mapping) else {c: c for c in cols}
-    if _resolve(df, by, large):
-        df = cut_lineage(df)
-        for c, new in names.items():
-            counted = _counted(df, by, c).select(
-                by, c, ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias("__rank"))
-            df = df.join(counted, [by, c], "left").withColumn(new, F.col("__rank")).drop("__rank")
+    if not names:
         return df
-    added = {}
-    for c, new in names.items():
-        order = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last())
-        ties = F.count(c).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-        n = F.count(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        added[new] = F.when(F.col(c).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / n)
-    return df.withColumns(added)
-
-
-def rank_centered(df: DataFrame, cols: Sequence[str], by: str = "trade_date", *, single_row_zero: bool = False,
-                  large: bool | None = None) -> DataFrame:
+    rank = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")
+    if len(names) == 1:
+        (c, new), = names.items()
+        values = df.where(F.col(c).isNotNull()).groupBy(by, F.col(c).alias("value")).agg(F.count("*").alias("ties"))
+        ranks = _counted(values, [by]).select(by, F.col("value").alias(c), rank.alias("__rank"))
+        return _joined(df, ranks, [by, c]).withColumn(new, F.col("__rank")).drop("__rank")
+    # rows of equal values have equal ranks: 128 bits of hash stand for the values of a row
+    keyed = df.withColumns({f"__h{i}": F.xxhash64(F.lit(i), *names) for i in (0, 1)})
+    cells = _long(keyed, [by, "__h0", "__h1"], list(names))
+    counted = _counted(cells.groupBy(by, "feature", "value").agg(F.count("*").alias("ties")), [by, "feature"])
+    placed = _joined(cells, counted.select(by, "feature", "value", rank.alias("__rank")), [by, "feature", "value"])
+    wide = placed.groupBy(by, "__h0", "__h1").agg(
+        *[F.max(F.when(F.col("feature") == i, F.col("__rank"))).alias(f"__r{i}") for i in range(len(names))])
+    out = _joined(keyed, wide, [by, "__h0", "__h1"])
+    return out.withColumns({new: F.col(f"__r{i}") for i, new in enumerate(names.values())}).drop("__h0", "__h1", *[f"__r{i}" for i in range(len(names))])
+
+
+def rank_centered(df: DataFrame, cols: Sequence[str], by: str = "trade_date", *, single_row_zero: bool = False) -> DataFrame:
     """Percentile rank minus one half, per date. A column that is not there becomes 0.
     ``single_row_zero`` is the scoring rule: a lone row cannot be ranked and gets 0."""
     have = [c for c in cols if c in df.columns]
-    df = pct_rank(df, have, by, large=large)
+    df = pct_rank(df, have, by)
     if single_row_zero:
-        n = F.count("*").over(Window.partitionBy(by))
-        df = df.withColumns({c: F.when(n <= 1, 0.0).otherwise(F.col(c) - 0.5) for c in have})
+        df = _joined(df, df.groupBy(by).agg(F.count("*").alias("__n")), [by])
+        df = df.withColumns({c: F.when(F.col("__n") <= 1, 0.0).otherwise(F.col(c) - 0.5) for c in have}).drop("__n")
     else:
         df = df.withColumns({c: F.col(c) - 0.5 for c in have})
     return df.withColumns({c: F.lit(0.0) for c in cols if c not in have})
@@ -101,93 +105,90 @@ def _text_place(c: Column) -> Column:
 
 
 def positions(df: DataFrame, col: str, by: str = "trade_date", tie: str = "code", *, name: str = "position",
-              total: str = "group_rows", large: bool | None = None) -> DataFrame:
+              total: str = "group_rows") -> DataFrame:
     """1-based position of each row by (col, tie) and the number of ranked rows. Rows with a
-    missing value get null."""
-    if not _resolve(df, by, large):
-        order = Window.partitionBy(by).orderBy(F.col(col).asc_nulls_last(), tie)
-        n = F.count(col).over(Window.partitionBy(by))
-        known = F.col(col).isNotNull()
-        return df.withColumns({name: F.when(known, F.row_number().over(order)), total: F.when(known, n)})
-    df = cut_lineage(df)
-    counted = _counted(df, by, col).select(by, col, "below", F.col("total").alias(total))
+    missing value get null.
+
+    Rows of one value are ordered by ``tie``, in ranges of the group's tie texts, so a value that many rows share is
+    not ordered in one task."""
     placed = df.withColumn("__place", _text_place(F.col(tie)))
-    placed = (placed.join(_cuts(placed, by, "__place", "__cuts"), by, "left")
-              .withColumn("__sub", _range_no("__place", "__cuts")).drop("__cuts"))
+    known = placed.where(F.col(col).isNotNull())
+    extremes = known.groupBy(by).agg(F.min("__place").alias("__lo"), F.max("__place").alias("__hi"), F.count("*").alias("__m"))
+    share = F.coalesce(F.try_divide(F.col("__place") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    parts = F.ceil(F.col("__m") / RANGE_ROWS)
+    placed = _joined(placed, extremes, [by]).withColumn("__sub", F.least(F.floor(share * parts), parts - 1)).drop("__lo", "__hi", "__m")
     subs = placed.where(F.col(col).isNotNull()).groupBy(by, col, "__sub").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(by, col).orderBy("__sub")
-    subs = subs.withColumn("__sub_below", F.sum("__n").over(before) - F.col("__n")).drop("__n")
-    inside = Window.partitionBy(by, col, "__sub").orderBy("__place", tie)
-    return (placed.join(counted, [by, col], "left").join(subs, [by, col, "__sub"], "left")
-            .withColumn(name, F.when(F.col(col).isNotNull(),
-                                     F.col("below") + F.col("__sub_below") + F.row_number().over(inside)))
-            .drop("below", "__sub", "__sub_below", "__place"))
+    counted = _counted(subs.groupBy(by, F.col(col).alias("value")).agg(F.sum("__n").alias("ties")), [by])
+    counted = counted.select(by, F.col("value").alias(col), "below", F.col("total").alias("__total"))
+    order = Window.partitionBy(by, col).orderBy("__sub")
+    subs = subs.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).drop("__n")
+    lookup = _joined(subs, counted, [by, col]).select(by, col, "__sub", (F.col("below") + F.col("__before")).alias("__base"), "__total")
+    inside = F.row_number().over(Window.partitionBy(by, col, "__sub").orderBy("__place", tie))
+    return _joined(placed, lookup, [by, col, "__sub"]).withColumns({
+        name: F.when(F.col(col).isNotNull(), F.col("__base") + inside), total: F.col("__total")}).drop("__base", "__total", "__sub", "__place")
 
 
 def decile(df: DataFrame, col: str, by: str = "trade_date", name: str = "decile", *, tie: str = "code",
-           method: str = "first", large: bool | None = None) -> DataFrame:
+           method: str = "first") -> DataFrame:
     """Ten classes per date, floor(position / n * 10) capped at 9. ``first`` breaks ties by
     ``tie``; ``average`` gives tied rows the same class."""
     if method == "average":
-        df = pct_rank(df, {col: "__pct"}, by, large=large)
-        return df.withColumn(name, F.least(F.lit(9), F.floor(F.col("__pct") * 10)).cast("int")).drop("__pct")
-    df = positions(df, col, by, tie, name="__pos", total="__n", large=large)
+        df = pct_rank(df, {col: "__pct"}, by)
+        return df.withColumn(name, F.when(F.col("__pct").isNotNull(), F.least(F.lit(9), F.floor(F.col("__pct") * 10)).cast("int"))).drop("__pct")
+    df = positions(df, col, by, tie, name="__pos", total="__n")
     return df.withColumn(
         name, F.when(F.col("__pos").isNotNull(),
                      F.least(F.lit(9), F.floor(F.col("__pos") * 10 / F.col("__n"))).cast("int"))
     ).drop("__pos", "__n")
 
 
-def group_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], by: str = "trade_date", *,
-                    large: bool | None = None) -> DataFrame:
-    """Exact quantiles per group with linear interpolation."""
-    if not _resolve(df, by, large):
-        return df.groupBy(by).agg(*[F.percentile(col, F.lit(p)).alias(n) for n, p in probs.items()])
-    counted = _counted(df, by, col)
+def _quantiles(counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Linear interpolation between the values at the two places around p * (n - 1)."""
     aggs, out = [], []
     for n, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
+        at = F.lit(float(p)) * (F.col("total") - 1)
         for side, idx in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             covers = (F.col("below") <= idx) & (idx < F.col("below") + F.col("ties"))
-            aggs.append(F.max(F.when(covers, F.col(col))).alias(f"{n}__{side}"))
-        out.append((F.col(f"{n}__lo") + (F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1)))
-                    * (F.col(f"{n}__hi") - F.col(f"{n}__lo"))).alias(n))
-    return counted.groupBy(by).agg(F.max("total").alias("total"), *aggs).select(by, *out)
-
-
-def winsor_z(df: DataFrame, cols: Sequence[str], by: str = "trade_date", low: float = 0.01, high: float = 0.99, *,
-             large: bool | None = None) -> DataFrame:
-    """Clip to the group's 1 % and 99 % quantiles, then z-score; no spread gives 0. All columns
-    share one pass."""
-    def z(c: str, mean: Column, std: Column) -> Column:
-        flat = std.isNull() | (std == 0)
-        return F.when(F.col(c).isNull(), None).when(flat, 0.0).otherwise(F.try_divide(F.col(c) - mean, std))
-
-    if not _resolve(df, by, large):
-        group = Window.partitionBy(by)
-        bounds = {f"__{side}_{c}": F.percentile(c, F.lit(q)).over(group)
-                  for c in cols for side, q in (("lo", low), ("hi", high))}
-        clipped = df.withColumns(bounds).withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(
-            F.least(F.col(c), F.col(f"__hi_{c}")), F.col(f"__lo_{c}"))) for c in cols}).drop(*bounds)
-        return clipped.withColumns({c: z(c, F.avg(c).over(group), F.stddev_samp(c).over(group)) for c in cols})
-    df = cut_lineage(df)
-    for c in cols:
-        edges = group_quantiles(df, c, {"__lo": low, "__hi": high}, by, large=True)
-        df = df.join(edges, by, "left").withColumn(c, F.when(
-            F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col("__hi")), F.col("__lo")))).drop("__lo", "__hi")
-    df = cut_lineage(df)
-    moments = df.groupBy(by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
-                                 *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols])
-    return df.join(moments, by, "left").withColumns(
-        {c: z(c, F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in cols}).drop(
-        *[f"__{k}_{c}" for k in "ms" for c in cols])
-
-
-def composite_score(df: DataFrame, signs: Mapping[str, int], name: str = "score", by: str = "trade_date", *,
-                    large: bool | None = None) -> DataFrame:
+            aggs.append(F.max(F.when(covers, F.col("value"))).alias(f"{n}__{side}"))
+        out.append((F.col(f"{n}__lo") + (at - F.floor(at)) * (F.col(f"{n}__hi") - F.col(f"{n}__lo"))).alias(n))
+    return counted.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).select(*keys, "total", *out)
+
+
+def group_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], by: str | Sequence[str] = "trade_date") -> DataFrame:
+    """Exact quantiles per group with linear interpolation; ``by`` may be empty for the whole table."""
+    keys = [by] if isinstance(by, str) else list(by)
+    if not keys:
+        return group_quantiles(df.withColumn("__all", F.lit(0)), col, probs, ["__all"]).drop("__all")
+    values = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("value")).agg(F.count("*").alias("ties"))
+    return _quantiles(_counted(values, keys), keys, probs).drop("total")
+
+
+def winsor_z(df: DataFrame, cols: Sequence[str], by: str = "trade_date", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Clip to the group's 1 % and 99 % quantiles, then z-score; no spread gives 0. All columns share one pass, and
+    the moments come from the counted values, as distances to the lower edge."""
+    values = _long(df, [by], list(cols)).groupBy(by, "feature", "value").agg(F.count("*").alias("ties"))
+    counted = _counted(values, [by, "feature"])
+    edges = _quantiles(counted, [by, "feature"], {"lo": low, "hi": high}).drop("total")
+    apart = F.greatest(F.least(F.col("value"), F.col("hi")), F.col("lo")) - F.col("lo")
+    moments = _joined(counted, edges, [by, "feature"]).groupBy(by, "feature").agg(
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("ties").alias("n"), F.sum(F.col("ties") * apart).alias("s1"), F.sum(F.col("ties") * apart * apart).alias("s2"))
+    var = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
+    moments = moments.select(by, "feature", F.struct("lo", "hi", (F.col("lo") + F.col("s1") / F.col("n")).alias("mean"),
+                                                     F.sqrt(F.try_divide(var, F.col("n") - 1)).alias("std")).alias("m"))
+    wide = moments.groupBy(by).agg(*[F.max(F.when(F.col("feature") == i, F.col("m"))).alias(f"__m{i}") for i in range(len(cols))])
+
+    def z(c: str, m: str) -> Column:
+        clipped = F.greatest(F.least(F.col(c), F.col(f"{m}.hi")), F.col(f"{m}.lo"))
+        flat = F.col(f"{m}.std").isNull() | (F.col(f"{m}.std") <= F.abs(F.col(f"{m}.mean")) * 1e-14)
+        return F.when(F.col(c).isNull(), None).when(flat, 0.0).otherwise(F.try_divide(clipped - F.col(f"{m}.mean"), F.col(f"{m}.std")))
+
+    return _joined(df, wide, [by]).withColumns({c: z(c, f"__m{i}") for i, c in enumerate(cols)}).drop(*[f"__m{i}" for i in range(len(cols))])
+
+
+def composite_score(df: DataFrame, signs: Mapping[str, int], name: str = "score", by: str = "trade_date") -> DataFrame:
     """Mean over factors of sign times winsorised z; missing factors are left out of the mean."""
     raw = {f"__raw_{c}": F.col(c) for c in signs}
-    z = winsor_z(df.withColumns(raw), list(signs), by, large=large)
+    z = winsor_z(df.withColumns(raw), list(signs), by)
     parts = [F.col(c) * F.lit(float(s)) for c, s in signs.items()]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     present = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
@@ -200,12 +201,11 @@ def regime_switched(bull: Column, universal: Column, bear: Column) -> Column:
     return F.when(F.coalesce(bull, F.lit(True)), universal).otherwise(bear)
 
 
-def display_percentile(df: DataFrame, score: str, by: str | None = None, tie: str = "code", *,
-                       large: bool | None = None) -> DataFrame:
+def display_percentile(df: DataFrame, score: str, by: str | None = None, tie: str = "code") -> DataFrame:
     """Score place on a 0-9 scale and as a top percentage, among all rows or per group."""
     key = by or "__all"
     base = df if by else df.withColumn(key, F.lit(0))
-    ranked = positions(base, score, key, tie, large=large)
+    ranked = positions(base, score, key, tie)
     place = F.try_divide(F.col("position") - 1, F.greatest(F.lit(1), F.col("group_rows") - 1).cast("double"))
     ranked = ranked.withColumns({
         "display_score": place * 9,

@@ -20,18 +20,16 @@ def safe_corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def ic_by_date(df: DataFrame, score: str, target: str, *, min_rows: int = 3, by: str | Sequence[str] = "trade_date",
-               large: bool | None = None) -> DataFrame:
+def ic_by_date(df: DataFrame, score: str, target: str, *, min_rows: int = 3, by: str | Sequence[str] = "trade_date") -> DataFrame:
     """Spearman correlation per date over rows where both sides are known. Dates with fewer rows
     than ``min_rows`` or a constant side are left out."""
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     keys = [by] if isinstance(by, str) else list(by)
     pairs = pairs.select(*keys, F.col(score).alias("__s"), F.col(target).alias("__t"))
     if len(keys) == 1:
-        ranked = pct_rank(pairs, {"__s": "__rs", "__t": "__rt"}, keys[0], large=large)
+        ranked = pct_rank(pairs, {"__s": "__rs", "__t": "__rt"}, keys[0])
     else:
-        ranked = pct_rank(pairs.withColumn("__key", F.struct(*keys)), {"__s": "__rs", "__t": "__rt"}, "__key",
-                          large=large)
+        ranked = pct_rank(pairs.withColumn("__key", F.struct(*keys)), {"__s": "__rs", "__t": "__rt"}, "__key")
     per = ranked.groupBy(*keys).agg(
         safe_corr("__rs", "__rt").alias("ic"), F.count("*").alias("n"),
         (F.min("__s") < F.max("__s")).alias("__vs"), (F.min("__t") < F.max("__t")).alias("__vt"))
@@ -53,12 +51,11 @@ def ic_by_year(ics: DataFrame, date: str = "trade_date") -> DataFrame:
     return summarize_ic(ics.withColumn("year", F.year(date)), ["year"])
 
 
-def ic_by_regime(df: DataFrame, flags: DataFrame, scores: Sequence[str], target: str, *, min_rows: int = 3,
-                 large: bool | None = None) -> DataFrame:
+def ic_by_regime(df: DataFrame, flags: DataFrame, scores: Sequence[str], target: str, *, min_rows: int = 3) -> DataFrame:
     """IC of several scores on bull and bear dates; dates the index lacks are left out."""
     parts = []
     for s in scores:
-        ics = ic_by_date(df, s, target, min_rows=min_rows, large=large)
+        ics = ic_by_date(df, s, target, min_rows=min_rows)
         parts.append(summarize_ic(ics.join(flags.select("trade_date", "bull"), "trade_date"), ["bull"])
                      .withColumn("score", F.lit(s)))
     out = parts[0]
@@ -74,14 +71,13 @@ def ic_extremes(ics: DataFrame, n: int = 5) -> DataFrame:
     return worst.unionByName(best)
 
 
-def decile_profile(df: DataFrame, score: str, target: str, *, min_rows: int = 10, by: str = "trade_date",
-                   large: bool | None = None) -> DataFrame:
+def decile_profile(df: DataFrame, score: str, target: str, *, min_rows: int = 10, by: str = "trade_date") -> DataFrame:
     """Mean target per score decile: mean per (date, decile), then over dates; plus the excess
     over the mean of date means. Decile 0 holds the lowest scores."""
     known = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(by, "code", score, target)
     ok = known.groupBy(by).agg(F.count("*").alias("n"), (F.min(score) < F.max(score)).alias("varies"),
                                F.avg(target).alias("date_mean")).where((F.col("n") >= min_rows) & F.col("varies"))
-    ranked = decile(known.join(ok.select(by), by, "left_semi"), score, by, large=large)
+    ranked = decile(known.join(ok.select(by), by, "left_semi"), score, by)
     # the date means travel as class -1, so one aggregation yields all levels
     means = ranked.groupBy(by, "decile").agg(F.avg(target).alias("m")).unionByName(
         ok.select(by, F.lit(-1).alias("decile"), F.col("date_mean").alias("m")))
@@ -116,8 +112,7 @@ def topk_excess(df: DataFrame, score: str, target: str, k: int, by: str = "trade
         F.count("*").alias("period_count"))
 
 
-def ndcg_by_date(df: DataFrame, score: str, gain: str, k: int, by: str = "trade_date", *,
-                 large: bool | None = None) -> DataFrame:
+def ndcg_by_date(df: DataFrame, score: str, gain: str, k: int, by: str = "trade_date") -> DataFrame:
     """NDCG@k with linear gain and log2 discount; rows of equal score share their mean gain.
 
     Tied rows are collapsed first: a tie group at places a+1..a+m contributes its mean gain
@@ -190,14 +185,14 @@ def unpivot_features(df: DataFrame, features: Sequence[str], target: str,
 
 
 def evaluate_features(df: DataFrame, features: Sequence[str], target: str, *, min_per_date: int = 30,
-                      conditions: dict[str, str] | None = None, large: bool | None = None) -> DataFrame:
+                      conditions: dict[str, str] | None = None) -> DataFrame:
     """IC summary per feature over all rows and, where a condition is named, over the rows that
     meet it (``scope``)."""
     longs = unpivot_features(df, features, target, conditions)
     scopes = longs.withColumn("scope", F.explode(F.when(
         F.col("meets") & F.col("feature").isin(*(conditions or {"": ""})), F.array(F.lit("all"), F.lit("conditional")))
         .otherwise(F.array(F.lit("all")))))
-    ics = ic_by_date(scopes, "value", "target", min_rows=min_per_date, by=["feature", "scope", "trade_date"], large=large)
+    ics = ic_by_date(scopes, "value", "target", min_rows=min_per_date, by=["feature", "scope", "trade_date"])
     return summarize_ic(ics, ["feature", "scope"])
 
 

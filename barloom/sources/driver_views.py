@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from barloom.operators.asof import following_bars
 from barloom.operators.calendar import build_calendar, weekday_calendar
-from barloom.operators.cross_section import has_large_group
 from barloom.session import tune
 
 
@@ -20,18 +19,10 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         tune(spark)
-        self._large: bool | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def large_dates(self) -> bool:
-        """Whether some date may hold a very large cross-section. Lines per date bound the bars
-        per date, so a scan of the date column alone decides it."""
-        if self._large is None:
-            self._large = has_large_group(self.table("lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
-        return self._large
-
     def bars(self, *, key: str = "l_suppkey") -> DataFrame:
         """One bar per key and ship date. The rollup is the only pass over raw lines and it
         combines map-side, so a supplier with a third of all lines is no hot spot."""

@@ -1,6 +1,6 @@
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import cross_section as xs
 from barloom.operators import evaluate as ev
@@ -30,30 +30,74 @@ def test_decile_of_four(spark):
     assert [r.decile for r in xs.decile(df, "x").orderBy("code").collect()] == [2, 5, 7, 9]
 
 
-@pytest.mark.parametrize("method", ["first", "average"])
-def test_split_form_gives_the_same_deciles(spark, method):
-    df = panel(spark)
-    a = {(r.trade_date, r.code): r.decile for r in xs.decile(df, "x", method=method, large=False).collect()}
-    b = {(r.trade_date, r.code): r.decile for r in xs.decile(df, "x", method=method, large=True).collect()}
-    assert a == b and len(a) == 600
+@pytest.fixture(params=[4096, 7])
+def ranges(request, monkeypatch):
+    """Groups in one range, and in very many."""
+    monkeypatch.setattr(xs, "RANGE_ROWS", request.param)
 
 
-def test_split_form_gives_the_same_ranks_quantiles_and_scores(spark):
-    df = panel(spark)
-    for fn in (lambda d, big: xs.pct_rank(d, {"x": "r"}, large=big).select("trade_date", "code", "r"),
-               lambda d, big: xs.group_quantiles(d, "x", {"a": 0.01, "b": 0.5, "c": 0.99}, large=big),
-               lambda d, big: xs.winsor_z(d, ["x", "y"], large=big).select("trade_date", "code", "x", "y"),
-               lambda d, big: xs.positions(d, "x", large=big).select("trade_date", "code", "position", "group_rows")):
-        a, b = (fn(df, big).toPandas() for big in (False, True))
-        keys = [c for c in ("trade_date", "code") if c in a]
-        a, b = (x.sort_values(keys).reset_index(drop=True) for x in (a, b))
-        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-12, atol=1e-12)
-
-
-def test_large_group_check_is_used(spark, monkeypatch):
-    monkeypatch.setattr(xs, "LARGE_GROUP", 10)
+def plain(df):
+    return df.toPandas().sort_values(["trade_date", "code"]).reset_index(drop=True)
+
+
+def same(got, want, cols, **kw):
+    got = got.toPandas().sort_values(["trade_date", "code"]).reset_index(drop=True)
+    for c in cols:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, **kw)
+
+
+def test_ranks_are_those_of_pandas(spark, ranges):
+    df = panel(spark).withColumn("z", F.when(F.col("y") > 0, F.col("y") * 1e9).otherwise(F.col("y") * 1e-9))
+    want = plain(df)
+    for c in "xyz":
+        want[c] = want.groupby("trade_date")[c].rank(pct=True)
+    same(xs.pct_rank(df, ["x", "y", "z"]), want, "xyz")
+    same(xs.pct_rank(df, {"x": "r"}).select("trade_date", "code", F.col("r").alias("x")), want, "x")
+
+
+@pytest.mark.parametrize("method", ["first", "average"])
+def test_deciles_are_those_of_pandas(spark, ranges, method):
+    df, want = panel(spark), plain(panel(spark))
+    rank = want.groupby("trade_date").x.rank(method=method, pct=False)
+    n = want.groupby("trade_date").x.transform("count")
+    want["decile"] = np.floor((rank / n if method == "average" else rank * 10 / n) * (10 if method == "average" else 1) + 0).clip(upper=9)
+    same(xs.decile(df, "x", method=method), want, ["decile"])
+
+
+def test_quantiles_and_scores_are_those_of_pandas(spark, ranges):
+    df, want = panel(spark), plain(panel(spark))
+    got = {r.trade_date: (r.a, r.b, r.c) for r in xs.group_quantiles(df, "x", {"a": 0.01, "b": 0.5, "c": 0.99}).collect()}
+    for d, x in want.groupby("trade_date").x:
+        assert got[d] == pytest.approx(tuple(x.quantile([0.01, 0.5, 0.99])))
+    whole = xs.group_quantiles(df, "y", {"m": 0.3}, by=[]).first()
+    assert whole.m == pytest.approx(want.y.quantile(0.3))
+    for c in "xy":
+        g = want.groupby("trade_date")[c]
+        want[c] = want[c].clip(g.transform(lambda v: v.quantile(0.01)), g.transform(lambda v: v.quantile(0.99)))
+        g = want.groupby("trade_date")[c]
+        want[c] = (want[c] - g.transform("mean")) / g.transform("std")
+    same(xs.winsor_z(df, ["x", "y"]), want, "xy")
+
+
+def test_ranks_of_extreme_values_and_missing_dates(spark, ranges):
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, None]
+    df = spark.createDataFrame([(d, f"{i:02d}", v) for d in ("a", None) for i, v in enumerate(odd)], "trade_date string, code string, x double")
+    rank = {i: r for i, r in zip((2, 8, 6, 3, 4, 5, 7, 1, 0), (1, 2, 3, 4.5, 4.5, 6, 7, 8, 9))}
+    for out in (xs.pct_rank(df, ["x"]), xs.pct_rank(df.withColumn("y", F.col("x")), ["x", "y"])):
+        for r in out.collect():
+            assert r.x == (pytest.approx(rank[int(r.code)] / 9) if int(r.code) in rank else None)
+
+
+def test_nothing_runs_while_a_plan_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
     df = panel(spark)
-    assert xs.has_large_group(df, limit=10) and not xs.has_large_group(df, limit=10_000)
+    spark.sparkContext.setJobGroup("plans", "")
+    try:
+        xs.display_percentile(xs.composite_score(xs.rank_centered(df, ["x", "y"]), {"x": 1, "y": -1}), "score")
+        xs.group_quantiles(df, "x", {"m": 0.5})
+        assert not tracker.getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_constant_score_and_flat_spread(spark):

@@ -183,5 +183,5 @@ def test_boosting_goes_past_one_tree(spark):
             for d in range(40) for c in range(20)]
     df = spark.createDataFrame(rows, "trade_date date, code string, x double, y double, label double")
     bounds = dict(train_end=dt.date(2024, 1, 20), val_start=dt.date(2024, 1, 21), val_end=dt.date(2024, 1, 30), test_start=dt.date(2024, 1, 31))
-    model, scored = train_ranker(df, ["x", "y"], bounds, rounds=5, depth=2, min_rows=5, large=False)  # one such tree cannot hold a sum
+    model, scored = train_ranker(df, ["x", "y"], bounds, rounds=5, depth=2, min_rows=5)  # one such tree cannot hold a sum
     assert model.getNumTrees > 1 and scored.where("part = 'test' AND score IS NULL").count() == 0
