@@ -4,7 +4,7 @@ One plan serves dates of every size. Equal values of a date are counted first (c
 a third of the rows share is one row). The counts are cut into value ranges, the more the larger the date; each range is
 ordered on its own, and the rows in the ranges below are added. Range bounds follow from the date's extremes alone, so
 every evaluation of the plan sees the same ones, and nothing runs while a plan is built. The input is read more than
-once: store a panel that is costly to compute.
+once: store a panel that is costly to compute. Rows without a date are in no cross-section: their results are null.
 """
 
 from __future__ import annotations
@@ -21,11 +21,9 @@ RANGE_ROWS = 4096
 _LAST = 1 << 40
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on keys where missing keys are equal, too; the right side's keys are dropped."""
-    other = right.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    on = [left[k].eqNullSafe(other[f"__on_{i}"]) for i, k in enumerate(keys)]
-    return left.join(other, on, how).drop(*[f"__on_{i}" for i in range(len(keys))])
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with the row right has for the keys; a missing key has none."""
+    return left.join(right, list(keys), "left").select(*left.columns, *[c for c in right.columns if c not in keys])
 
 
 def _spread(value: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.cross_section import decile, pct_rank
+from barloom.operators.cross_section import decile, group_quantiles, pct_rank
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -135,11 +135,20 @@ def ndcg_by_date(df: DataFrame, score: str, gain: str, k: int, by: str = "trade_
             .select(by, F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)).alias("ndcg")))
 
 
-def distribution(value: str) -> list[Column]:
-    q = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
-    return [F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-            F.avg(F.when(F.col(value).isNotNull(), (F.col(value) > 0).cast("double"))).alias("positive_rate"),
-            *[F.percentile(value, F.lit(p)).alias(n) for n, p in q.items()]]
+QUANTILES = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+DISTRIBUTION = ("count", "mean", "std", "positive_rate", *QUANTILES)
+
+
+def distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count, moments, share of positive values and exact quantiles of a column, per group or of the whole table.
+
+    Quantiles come from counted value ranges (``group_quantiles``): no state grows with a group."""
+    keys = list(by) or ["__all"]
+    df = df if by else df.withColumn("__all", F.lit(0))
+    moments = df.groupBy(*keys).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.avg(F.when(F.col(value).isNotNull(), (F.col(value) > 0).cast("double"))).alias("positive_rate"))
+    return moments.join(group_quantiles(df, value, QUANTILES, keys), keys, "left").select(*by, *DISTRIBUTION)
 
 
 def event_study(df: DataFrame, event_cols: Sequence[str], target: str, by: str = "trade_date") -> DataFrame:
@@ -152,9 +161,7 @@ def event_study(df: DataFrame, event_cols: Sequence[str], target: str, by: str =
                         F.expr(f"stack({len(event_cols)}, {pairs}) AS (event_class, hits)")).where(F.col("hits") > 0)
     base = longs.groupBy("event_class").agg(
         F.count("*").alias("rows"), F.count_distinct(by).alias("dates"), F.count_distinct("code").alias("codes"))
-    dists = [longs.groupBy("event_class").agg(*[c for c in distribution(v)]).select(
-        "event_class", *[F.col(n).alias(f"{v}_{n}") for n in
-                         ("count", "mean", "std", "positive_rate", "q10", "q25", "median", "q75", "q90")])
+    dists = [distribution(longs, v, ["event_class"]).select("event_class", *[F.col(n).alias(f"{v}_{n}") for n in DISTRIBUTION])
              for v in ("ret", "excess")]
     return base.join(dists[0], "event_class").join(dists[1], "event_class")
 

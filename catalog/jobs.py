@@ -299,7 +299,7 @@ PANEL_PROP = dict(volz_window=60, volz_min_count=5, min_corr=0.05, max_leaders=4
 
 
 def small_panel(t, **kw):
-    return training_panel(t.bars(), t.market_bars(), t.fundamentals(), names=list(PANEL_FACTORS), propagation_options=PANEL_PROP, **kw)[0]
+    return training_panel(cut_lineage(t.bars()), t.market_bars(), t.fundamentals(), names=list(PANEL_FACTORS), propagation_options=PANEL_PROP, **kw)[0]
 
 
 PANEL = {
@@ -319,7 +319,7 @@ def b02(t):
 @query("panel_b02_full_training_set")
 def b02_full(t):
     """The whole panel (300 factors, labels, propagation, fundamentals), reported per year."""
-    panel, _ = training_panel(t.bars(), t.market_bars(), t.fundamentals(), propagation_options=PANEL_PROP)
+    panel, _ = training_panel(cut_lineage(t.bars()), t.market_bars(), t.fundamentals(), propagation_options=PANEL_PROP)
     return panel.groupBy(F.year("trade_date").alias("year")).agg(
         F.count("*").alias("rows"), F.avg("label").alias("label"), *[F.avg(c).alias(c) for c in (*ROBUST, *pr.FEATURES, "ocf_to_eps")])
 

@@ -13,6 +13,7 @@ from barloom.operators.factors import factor_frame
 from barloom.operators.labels import (
     benchmark_forward, drop_warmup, forward_drawdown, forward_labels, forward_returns, split_history)
 from barloom.operators.regime import trend_flags
+from barloom.session import cut_lineage
 from catalog.factors import FORMULAS
 from catalog.registry import query, r, with_ctes
 
@@ -21,12 +22,12 @@ SPLIT = "1999-01-01"
 
 
 def scored(t):
-    """Panel with a 20-day return as score and forward returns; rows where both are known."""
+    """Panel with a 20-day return as score and forward returns; rows where both are known. Stored, as it is read more than once."""
     df = factor_frame(forward_labels(t.bars(), (5, 20), 20), names=["RET20"], zero_fill=False,
                       keep=["close", "volume", "forward_5d_return", "forward_20d_return", "label_score"])
-    return df.where(F.col("RET20").isNotNull() & F.col("forward_5d_return").isNotNull()).select(
+    return cut_lineage(df.where(F.col("RET20").isNotNull() & F.col("forward_5d_return").isNotNull()).select(
         "code", "trade_date", "close", "volume", F.col("RET20").alias("score"), F.col("forward_5d_return").alias("fwd5"),
-        F.col("forward_20d_return").alias("fwd20"), "label_score")
+        F.col("forward_20d_return").alias("fwd20"), "label_score"))
 
 
 # percentile rank with average ties, as SQL over a partition
@@ -287,7 +288,7 @@ def a09(t):
        f"{r('avg(CASE WHEN fwd20 > 0 THEN 1.0 WHEN fwd20 IS NOT NULL THEN 0 END)', 'positive_rate')}, " + ", ".join(
            r(f"quantile_cont(fwd20, {q})", n) for n, q in (("q10", 0.1), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q90", 0.9))) + " FROM scored")
 def a11(t):
-    return scored(t).agg(*ev.distribution("fwd20"))
+    return ev.distribution(scored(t), "fwd20")
 
 
 @query("eval_a17_panel_report", with_ctes("bars", d="SELECT trade_date, count(DISTINCT code) AS codes, count(*) AS n FROM bars GROUP BY 1")

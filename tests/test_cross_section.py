@@ -81,11 +81,11 @@ def test_quantiles_and_scores_are_those_of_pandas(spark, ranges):
 
 def test_ranks_of_extreme_values_and_missing_dates(spark, ranges):
     odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, None]
-    df = spark.createDataFrame([(d, f"{i:02d}", v) for d in ("a", None) for i, v in enumerate(odd)], "trade_date string, code string, x double")
+    df = spark.createDataFrame([(d, f"{i:02d}", v) for d in ("a", "b", None) for i, v in enumerate(odd)], "trade_date string, code string, x double")
     rank = {i: r for i, r in zip((2, 8, 6, 3, 4, 5, 7, 1, 0), (1, 2, 3, 4.5, 4.5, 6, 7, 8, 9))}
     for out in (xs.pct_rank(df, ["x"]), xs.pct_rank(df.withColumn("y", F.col("x")), ["x", "y"])):
         for r in out.collect():
-            assert r.x == (pytest.approx(rank[int(r.code)] / 9) if int(r.code) in rank else None)
+            assert r.x == (pytest.approx(rank[int(r.code)] / 9) if r.trade_date and int(r.code) in rank else None)
 
 
 def test_nothing_runs_while_a_plan_is_built(spark):
