@@ -228,13 +228,12 @@ def leaders(df: DataFrame, *, ret: str = "ret", volz: str | None = "volz", min_r
 
 
 def extreme_factors(df: DataFrame, names: Sequence[str], top: int = 5, key: str = "code") -> DataFrame:
-    """Largest and smallest ``top`` z-scores per instrument: z over all rows of each factor."""
-    moments = df.agg(*[F.avg(n).alias(f"{n}__m") for n in names],
-                     *[F.nullif(F.stddev_samp(n), F.lit(0.0)).alias(f"{n}__s") for n in names])
-    row = moments.first()
-    z = [F.struct(F.lit(n).alias("factor"),
-                  F.coalesce(finite(F.try_divide(F.col(n) - F.lit(row[f"{n}__m"]), F.lit(row[f"{n}__s"]).cast("double"))),
-                             F.lit(0.0)).alias("z")) for n in names]
+    """Largest and smallest ``top`` z-scores per instrument: z over all rows of each factor, to nine decimals, so that
+    factors that measure the same tie and are ordered by name."""
+    moments = df.agg(F.array(*[F.struct(F.avg(n).alias("m"), F.nullif(F.stddev_samp(n), F.lit(0.0)).alias("s")) for n in names]).alias("__moments"))
+    df = df.select(key, *names).join(F.broadcast(moments))  # one row
+    z = [F.struct(F.lit(n).alias("factor"), F.round(F.coalesce(finite(F.try_divide(
+        F.col(n) - F.col("__moments")[i]["m"], F.col("__moments")[i]["s"])), F.lit(0.0)), 9).alias("z")) for i, n in enumerate(names)]
     df = df.select(key, F.array(*z).alias("all"))
 
     def order(sign: int):

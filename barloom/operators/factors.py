@@ -33,9 +33,14 @@ BULL = (
     "VMA250", "VSUMN60",
 )
 STABLE_PREFIXES = ("STD", "BETA", "RSQR", "CORR", "VMA", "WVMA", "TURN", "VOLZ", "MOM", "SHARPE")
-# Factors whose high value speaks for a low forward return; all others count +1.
-NEGATIVE_SIGN = ("RET20", "RET30", "RET60", "RELV20", "RELV30", "RELV60", "TURN120", "TURN250",
-                 "VOLZ120", "VOLZ250", "CORD60", "RESI10", "WVMA20")
+# Sign of each robust factor in the composite score, -1 where a high value speaks for a low forward return.
+COMPOSITE_SIGNS = {
+    "RET20": -1, "RET30": -1, "RET60": -1, "RELV20": -1, "RELV30": -1, "RELV60": -1,
+    "ROC20": 1, "ROC30": 1, "ROC60": 1, "QTLD20": 1, "QTLD30": 1, "QTLD60": 1,
+    "QTLU60": 1, "QTLU120": 1, "MA20": 1, "MA30": 1, "MA60": 1, "IMIN30": 1,
+    "TURN120": -1, "TURN250": -1, "VOLZ120": -1, "VOLZ250": -1, "AMTMA60": 1, "AMTMA120": 1, "AMTMA250": 1,
+    "VMA120": 1, "VMA250": 1, "VSUMN60": 1, "VSUMN120": 1, "CORD60": -1, "RESI10": -1, "WVMA20": -1,
+}
 
 BEAR = ROBUST + BEAR_EXTRA
 

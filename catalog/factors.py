@@ -179,6 +179,30 @@ LATEST = ("RET20", "MA20", "STD20", "VOLZ20", "RSV20", "MOM60")
 _latest = ", ".join(r(f"coalesce({FORMULAS[n.rstrip('0123456789')](int(n.lstrip('ABCDEFGHIJKLMNOPQRSTUVWXYZ')))}, 0)", n)
                     for n in LATEST)
 
+_EXPR = {"OPEN0": "open / close", "HIGH0": "high / close", "LOW0": "low / close",
+         "VWAP0": "CASE WHEN amount > 0 THEN amount / volume ELSE (high + low + close) / 3 END / close", **_shape}
+
+
+def factor_expr(name: str) -> str:
+    """SQL of any of the 300 factors over the rows of ``fe``, missing as 0."""
+    family, window = name.rstrip("0123456789"), "".join(c for c in name if c.isdigit())
+    if name in _EXPR:
+        return f"coalesce({_EXPR[name]}, 0)"
+    if family == "RESI":
+        return f"coalesce({full(f'stddev_samp(e{window}) {win(int(window))}', f'e{window}', int(window))}, 0)"
+    return f"coalesce({FORMULAS[family](int(window))}, 0)"
+
+
+def factor_ctes(names, keep: str = "code, trade_date") -> dict[str, str]:
+    """Blocks after ``fx``: fe adds the residuals of the windows that are needed, fa has the factors."""
+    windows = sorted({int(n[4:]) for n in names if n.startswith("RESI")})
+    resid = "".join(f", ret - ({beta(w)}) * m AS e{w}" for w in windows)
+    return {"fe": f"SELECT *{resid} FROM fx", "fa": f"SELECT {keep}, " + ", ".join(f"{factor_expr(n)} AS {n}" for n in names) + " FROM fe"}
+
+
+# ratios without a down day are of the size 1e12: compared in units of it
+UNITS = {f"UPR{w}": 1e12 for w in WINDOWS}
+
 
 @query("factor_w33_latest", with_ctes("fx", f=f"SELECT code, trade_date, {_latest} FROM fx")
        + "SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1")
@@ -186,32 +210,38 @@ def latest(t):
     return latest_factors(factor_frame(t.bars(), names=list(LATEST)))
 
 
-@query("factor_full_frame")
+def _listed(items) -> str:
+    return "unnest([" + ", ".join(items) + "])"
+
+
+ALL = factor_names()
+_unit = {n: f"{n} / {UNITS.get(n, 1.0)!r}" for n in ALL}
+
+
+@query("factor_full_frame", with_ctes("fx", **factor_ctes(ALL), st="SELECT " + ", ".join(
+       [_listed(f"'{n}'" for n in ALL) + " AS factor", _listed(f"count({n})" for n in ALL) + " AS rows",
+        _listed(f"avg({_unit[n]})" for n in ALL) + " AS mean", _listed(f"stddev_samp({_unit[n]})" for n in ALL) + " AS std"]) + " FROM fa")
+       + f"SELECT factor, rows, {r('mean')}, {r('std')} FROM st")
 def full_frame(t):
     """All 300 factors on every bar (J1), reported as mean and spread of each factor."""
-    names = factor_names()
     df = factor_frame(t.bars(), t.market_bars())
-    values = df.select(F.posexplode(F.array(*names)).alias("place", "value"))
+    values = df.select(F.posexplode(F.array(*[F.col(n) / UNITS.get(n, 1.0) for n in ALL])).alias("place", "value"))
     stats = values.groupBy("place").agg(F.count("value").alias("rows"), F.avg("value").alias("mean"),
                                         F.stddev_samp("value").alias("std"))
-    return stats.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1).alias("factor"),
+    return stats.select(F.element_at(F.array(*[F.lit(n) for n in ALL]), F.col("place") + 1).alias("factor"),
                         "rows", "mean", "std")
 
 
-_z = " UNION ALL ".join(f"SELECT code, '{n}' AS factor, {n} AS v FROM lf" for n in LATEST)
-
-
 @query("factor_a22_extreme_zscores", with_ctes(
-    "fx", lf0=f"SELECT code, trade_date, {', '.join(f'coalesce({FORMULAS[n.rstrip(chr(48) + "123456789")](int(n.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")))}, 0) AS {n}' for n in LATEST)} FROM fx",
-    lf="SELECT * FROM lf0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1",
-    lo=_z, z="SELECT code, factor, coalesce((v - avg(v) OVER (PARTITION BY factor)) / "
-             "nullif(stddev_samp(v) OVER (PARTITION BY factor), 0), 0) AS z FROM lo",
-    rk="SELECT *, row_number() OVER (PARTITION BY code ORDER BY z DESC, factor) AS hi, "
-       "row_number() OVER (PARTITION BY code ORDER BY z, factor) AS lw FROM z")
-    + f"SELECT code, 'top' AS side, hi AS place, factor, {r('z', 'z')} FROM rk WHERE hi <= 3 "
-      f"UNION ALL SELECT code, 'bottom', lw, factor, {r('z', 'z')} FROM rk WHERE lw <= 3")
+    "fx", **factor_ctes(ALL), lf="SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1",
+    lo=f"SELECT code, {_listed(repr(n) for n in ALL)} AS factor, {_listed(ALL)} AS v FROM lf",
+    z="SELECT code, factor, round(coalesce((v - avg(v) OVER (PARTITION BY factor)) / nullif(stddev_samp(v) OVER (PARTITION BY factor), 0), 0), 9) AS z FROM lo",
+    rk="SELECT *, row_number() OVER (PARTITION BY code ORDER BY z DESC, factor) AS hi, row_number() OVER (PARTITION BY code ORDER BY z, factor) AS lw FROM z")
+    + f"SELECT code, 'top' AS side, hi AS place, factor, {r('z', 'z')} FROM rk WHERE hi <= 5 "
+      f"UNION ALL SELECT code, 'bottom', lw, factor, {r('z', 'z')} FROM rk WHERE lw <= 5")
 def extremes(t):
-    picked = extreme_factors(latest_factors(factor_frame(t.bars(), names=list(LATEST))), LATEST, top=3)
+    """The five highest and lowest of all 300 factors of each code's newest row."""
+    picked = extreme_factors(latest_factors(factor_frame(t.bars(), t.market_bars())), ALL)
     sides = [picked.select("code", F.lit(s).alias("side"), F.posexplode(s).alias("p", "e")) for s in ("top", "bottom")]
     return sides[0].unionByName(sides[1]).select("code", "side", (F.col("p") + 1).cast("bigint").alias("place"),
                                                  "e.factor", "e.z")

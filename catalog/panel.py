@@ -9,12 +9,12 @@ from barloom.operators import cross_section as xs
 from barloom.operators import evaluate as ev
 from barloom.operators.asof import asof_left, latest_per_key
 from barloom.operators.calendar import build_calendar
-from barloom.operators.factors import factor_frame
+from barloom.operators.factors import COMPOSITE_SIGNS, factor_frame
 from barloom.operators.labels import (
     benchmark_forward, drop_warmup, forward_drawdown, forward_labels, forward_returns, split_history)
 from barloom.operators.regime import trend_flags
 from barloom.session import cut_lineage
-from catalog.factors import FORMULAS
+from catalog.factors import factor_ctes
 from catalog.registry import query, r, with_ctes
 
 P = "PARTITION BY code ORDER BY trade_date"
@@ -74,18 +74,16 @@ def x03(t):
     return xs.winsor_z(scored(t), ["score", "volume"]).select("code", "trade_date", "score", "volume")
 
 
-COMPOSITE = {"RET20": -1, "MA60": 1, "VOLZ120": -1, "VMA120": 1, "RESI10": -1}
-_F = {"RET20", "MA60", "VOLZ120", "VMA120"}
+SIGNED = list(COMPOSITE_SIGNS)
+_signed = " + ".join(f"({v} * {n})" for n, v in COMPOSITE_SIGNS.items())
 
 
-@query("xs_x04_composite", with_ctes(
-    "fx", ff="SELECT code, trade_date, " + ", ".join(
-        f"coalesce({FORMULAS[n.rstrip('0123456789')](int(''.join(ch for ch in n if ch.isdigit())))}, 0) AS {n}" for n in sorted(_F)) + " FROM fx",
-    **z_sql(sorted(_F), "ff")) + f"SELECT code, trade_date, {r('(-RET20 + MA60 - VOLZ120 + VMA120) / 4', 'score')} FROM zed")
+@query("xs_x04_composite", with_ctes("fx", **factor_ctes(SIGNED), **z_sql(SIGNED, "fa"))
+       + f"SELECT code, trade_date, {r(f'({_signed}) / {len(SIGNED)}', 'score')} FROM zed")
 def x04(t):
-    signs = {k: v for k, v in COMPOSITE.items() if k in _F}
-    df = factor_frame(t.bars(), names=sorted(signs))
-    return xs.composite_score(df, signs).select("code", "trade_date", "score")
+    """Composite of all 32 signed factors."""
+    df = cut_lineage(factor_frame(t.bars(), t.market_bars(), names=SIGNED))
+    return xs.composite_score(df, COMPOSITE_SIGNS).select("code", "trade_date", "score")
 
 
 BULL = ("bull AS (SELECT trade_date, coalesce(close > CASE WHEN count(close) OVER w = 200 THEN avg(close) OVER w END, false) AS bull "
