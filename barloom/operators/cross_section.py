@@ -231,14 +231,12 @@ def extreme_factors(df: DataFrame, names: Sequence[str], top: int = 5, key: str
     """Largest and smallest ``top`` z-scores per instrument: z over all rows of each factor, to nine decimals, so that
     factors that measure the same tie and are ordered by name."""
     moments = df.agg(F.array(*[F.struct(F.avg(n).alias("m"), F.nullif(F.stddev_samp(n), F.lit(0.0)).alias("s")) for n in names]).alias("__moments"))
-    df = df.select(key, *names).join(F.broadcast(moments))  # one row
-    z = [F.struct(F.lit(n).alias("factor"), F.round(F.coalesce(finite(F.try_divide(
-        F.col(n) - F.col("__moments")[i]["m"], F.col("__moments")[i]["s"])), F.lit(0.0)), 9).alias("z")) for i, n in enumerate(names)]
-    df = df.select(key, F.array(*z).alias("all"))
+    df = df.select(key, F.array(*names).alias("__values")).join(F.broadcast(moments))  # one row
+    z = F.zip_with("__values", "__moments", lambda v, m: F.round(F.coalesce(finite(F.try_divide(v - m["m"], m["s"])), F.lit(0.0)), 9))
+    df = df.withColumn("__z", z).withColumn("__names", F.array(*[F.lit(n) for n in names]))
 
-    def order(sign: int):
-        return lambda a, b: (F.when(a["z"] * sign > b["z"] * sign, -1).when(a["z"] * sign < b["z"] * sign, 1)
-                             .when(a["factor"] < b["factor"], -1).when(a["factor"] > b["factor"], 1).otherwise(0))
+    def side(sign: float) -> Column:
+        items = F.zip_with("__z", "__names", lambda z, n: F.struct((z * sign).alias("order"), n.alias("factor"), z.alias("z")))
+        return F.transform(F.slice(F.sort_array(items), 1, top), lambda e: F.struct(e["factor"].alias("factor"), e["z"].alias("z")))
 
-    return df.select(key, F.slice(F.array_sort("all", order(1)), 1, top).alias("top"),
-                     F.slice(F.array_sort("all", order(-1)), 1, top).alias("bottom"))
+    return df.select(key, side(-1.0).alias("top"), side(1.0).alias("bottom"))

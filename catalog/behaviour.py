@@ -266,28 +266,45 @@ def p19(t):
 
 # Suppliers trade on about one day in five, so the volume test and the pair count are eased.
 PROP = dict(volz_window=60, volz_min_count=5, lookback=60, min_pairs=20, min_corr=0.05, max_leaders=4)
-PROP_SQL = with_ctes(
-    "bars", "cal",
-    pb=f"SELECT b.code, b.trade_date, idx, close, volume, close / lag(close) OVER ({P}) - 1 AS ret, min(idx) OVER (PARTITION BY code) AS fp, "
-       "CASE WHEN count(volume) OVER z >= 5 THEN (volume - avg(volume) OVER z) / nullif(stddev_samp(volume) OVER z, 0) END AS volz FROM bars b JOIN cal USING (trade_date) "
-       "WINDOW z AS (PARTITION BY code ORDER BY idx RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)",
-    ld="SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ret DESC, code) AS k FROM pb WHERE ret >= 0.04 AND volz >= 1 AND idx >= 2",
-    # one row per (leader date, leader, slot): the leader's return of the day before the slot
-    sl="SELECT l.trade_date, l.idx AS pos, l.code AS leader, l.ret AS lret, l.volz AS lvolz, l.k, s.slot, coalesce(p.ret, 0) AS y FROM (SELECT * FROM ld WHERE k <= 4) l "
-       "JOIN (SELECT unnest(range(0, 60)) AS i) q ON true JOIN LATERAL (SELECT l.idx - 60 + q.i AS slot) s ON s.slot >= 1 AND s.slot - 1 > l.fp "
-       "LEFT JOIN pb p ON p.code = l.code AND p.idx = s.slot - 1",
-    ln="SELECT trade_date, leader, count(*) AS n FROM sl GROUP BY 1, 2",
-    pr="SELECT sl.trade_date, sl.leader, sl.lret, sl.lvolz, sl.k, c.code, CASE WHEN sl.leader = c.code OR any_value(ln.n) < 20 OR count(*) < 20 THEN 0 ELSE greatest(0, coalesce("
-       "covar_pop(y, coalesce(x.ret, 0)) / nullif(stddev_pop(y) * stddev_pop(coalesce(x.ret, 0)), 0), 0)) END AS corr FROM sl JOIN ln USING (trade_date, leader) JOIN pb c ON c.trade_date = sl.trade_date "
-       "LEFT JOIN pb x ON x.code = c.code AND x.idx = sl.slot WHERE sl.slot > c.fp GROUP BY sl.trade_date, sl.leader, sl.lret, sl.lvolz, sl.k, c.code",
-    sc="SELECT *, corr * lret * (1 + greatest(0, lvolz)) AS raw FROM pr",
-    cn="SELECT trade_date, code, count(*) FILTER (WHERE corr >= 0.05) AS n FROM sc GROUP BY 1, 2",
-    bs="SELECT * FROM sc WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY trade_date, code ORDER BY raw DESC, k) = 1",
-    fx2="SELECT b.trade_date, b.code, coalesce(s.lret, 0) AS lret, coalesce(s.lvolz, 0) AS lvolz, coalesce(s.corr, 0) AS corr, coalesce(s.raw, 0) AS raw, coalesce(cn.n, 0) AS n, "
-        "CASE WHEN EXISTS (SELECT 1 FROM ld WHERE ld.trade_date = b.trade_date) THEN greatest(0, coalesce(s.lret, 0) - coalesce(b.ret, 0)) ELSE 0 END AS under, coalesce(b.ret, 0) AS now "
-        "FROM pb b LEFT JOIN bs s USING (trade_date, code) LEFT JOIN cn USING (trade_date, code)") + (
-    f"SELECT trade_date, code, {r('lret', pr.FEATURES[0])}, {r('lvolz', pr.FEATURES[1])}, {r('corr', pr.FEATURES[2])}, {r('raw', pr.FEATURES[3])}, {r('under', pr.FEATURES[4])}, "
-    f"{r('n', pr.FEATURES[5])}, {r('raw * (1 + least(0.12, under)) * CASE WHEN now <= 0.025 THEN 1 ELSE 0 END', pr.FEATURES[6])} FROM fx2")
+
+def prop_ctes(rows: str = "bars", days: str = "cal") -> dict[str, str]:
+    """Propagation features of ``rows`` (code, trade_date, close, volume) over the calendar ``days``, in steps that are
+    stored one by one; the last is ``pv`` (trade_date, code and the features as lret to score)."""
+    return {
+        "pb": f"SELECT b.code, b.trade_date, idx, close, volume, close / lag(close) OVER ({P}) - 1 AS ret, min(idx) OVER (PARTITION BY code) AS fp, "
+              f"CASE WHEN count(volume) OVER z >= 5 THEN (volume - avg(volume) OVER z) / nullif(stddev_samp(volume) OVER z, 0) END AS volz FROM {rows} b JOIN {days} d USING (trade_date) "
+              "WINDOW z AS (PARTITION BY code ORDER BY idx RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)",
+        "ld": "SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ret DESC, code) AS k FROM pb WHERE ret >= 0.04 AND volz >= 1 AND idx >= 2 QUALIFY k <= 4",
+        # one row per (leader date, leader, slot): the leader's return of the day before the slot
+        "l1": "SELECT trade_date, code AS leader, ret AS lret, volz AS lvolz, k, fp, idx - 60 + unnest(range(0, 60)) AS slot FROM ld",
+        "l2": "SELECT * FROM l1 WHERE slot >= 1 AND slot - 1 > fp",
+        "sl": "SELECT l.trade_date, l.leader, lret, lvolz, k, slot, coalesce(p.ret, 0) AS y FROM l2 l LEFT JOIN pb p ON p.code = l.leader AND p.idx = l.slot - 1",
+        "ln": "SELECT trade_date, leader, count(*) AS n FROM sl GROUP BY 1, 2",
+        "cd": "SELECT trade_date, code, fp FROM pb",
+        "p1": "SELECT sl.trade_date, leader, slot, y, c.code FROM sl JOIN cd c ON c.trade_date = sl.trade_date AND slot > c.fp",
+        "p2": "SELECT p1.trade_date, leader, p1.code, y, coalesce(x.ret, 0) AS x FROM p1 LEFT JOIN pb x ON x.code = p1.code AND x.idx = p1.slot",
+        "p3": "SELECT trade_date, leader, code, count(*) AS n, covar_pop(y, x) / nullif(stddev_pop(y) * stddev_pop(x), 0) AS c FROM p2 GROUP BY 1, 2, 3",
+        "sc": "SELECT p3.trade_date, p3.code, lret, lvolz, k, CASE WHEN leader = p3.code OR ln.n < 20 OR p3.n < 20 THEN 0 ELSE greatest(0, coalesce(c, 0)) END AS corr "
+              "FROM p3 JOIN ln USING (trade_date, leader) JOIN (SELECT trade_date, code AS leader, ret AS lret, volz AS lvolz, k FROM ld) USING (trade_date, leader)",
+        "sr2": "SELECT *, corr * lret * (1 + greatest(0, lvolz)) AS raw FROM sc",
+        "cn": "SELECT trade_date, code, count(*) FILTER (WHERE corr >= 0.05) AS n FROM sr2 GROUP BY 1, 2",
+        "bs": "SELECT * FROM sr2 WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY trade_date, code ORDER BY raw DESC, k) = 1",
+        "dd2": "SELECT DISTINCT trade_date, true AS led FROM ld",
+        "fx2": "SELECT b.trade_date, b.code, coalesce(s.lret, 0) AS lret, coalesce(s.lvolz, 0) AS lvolz, coalesce(s.corr, 0) AS corr, coalesce(s.raw, 0) AS raw, coalesce(cn.n, 0) AS n, "
+               "CASE WHEN led THEN greatest(0, coalesce(s.lret, 0) - coalesce(b.ret, 0)) ELSE 0 END AS under, coalesce(b.ret, 0) AS now "
+               "FROM pb b LEFT JOIN bs s USING (trade_date, code) LEFT JOIN cn USING (trade_date, code) LEFT JOIN dd2 USING (trade_date)",
+        "pv": "SELECT trade_date, code, lret, lvolz, corr, raw, under, n, raw * (1 + least(0.12, under)) * CASE WHEN now <= 0.025 THEN 1 ELSE 0 END AS score FROM fx2"}
+
+
+PROP_COLUMNS = dict(zip(pr.FEATURES, ("lret", "lvolz", "corr", "raw", "under", "n", "score")))
+
+
+def stored(ctes: dict[str, str]) -> str:
+    return ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in ctes.items())
+
+
+PROP_SQL = (with_ctes("bars", "cal").rstrip() + ", " + stored(prop_ctes()) + " SELECT trade_date, code, "
+            + ", ".join(r(c, n) for n, c in PROP_COLUMNS.items()) + " FROM pv")
 
 
 @query("prop_l01_panel_features", PROP_SQL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators.cross_section import extreme_factors
 from barloom.operators.factors import CANDLE_SHAPES, WINDOWS, factor_frame, factor_names, latest_factors
 from barloom.operators.technical import factor_summary
+from barloom.session import cut_lineage
 from catalog.registry import query, r, with_ctes
 
 EPS = "1e-12"
@@ -241,7 +242,7 @@ def full_frame(t):
       f"UNION ALL SELECT code, 'bottom', lw, factor, {r('z', 'z')} FROM rk WHERE lw <= 5")
 def extremes(t):
     """The five highest and lowest of all 300 factors of each code's newest row."""
-    picked = extreme_factors(latest_factors(factor_frame(t.bars(), t.market_bars())), ALL)
+    picked = extreme_factors(cut_lineage(latest_factors(factor_frame(t.bars(), t.market_bars()))), ALL)
     sides = [picked.select("code", F.lit(s).alias("side"), F.posexplode(s).alias("p", "e")) for s in ("top", "bottom")]
     return sides[0].unionByName(sides[1]).select("code", "side", (F.col("p") + 1).cast("bigint").alias("place"),
                                                  "e.factor", "e.z")

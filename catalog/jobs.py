@@ -6,15 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barloom.operators import propagation as pr
 from barloom.operators import research as rs
 from barloom.operators import technical as tc
-from barloom.operators.factors import ROBUST
 from barloom.plans.models import (
     calendar_split, evaluation_bundle, feature_gains, fraction_split, mark_split, train_ranker)
 from barloom.plans.training_panel import training_panel
 from barloom.session import cut_lineage, ensure_checkpoint_dir
 from barloom.streaming import watch as wt
+from catalog.behaviour import PROP_COLUMNS, prop_ctes, stored
+from catalog.factors import ALL, UNITS, factor_ctes
 from catalog.panel import P, scored
 from catalog.registry import query, r, with_ctes
 
@@ -303,7 +303,7 @@ def small_panel(t, **kw):
 
 
 PANEL = {
-    "pn": f"SELECT code, trade_date, close, lead(close, 5) OVER ({P}) / close - 1 AS f5, lead(close, 20) OVER ({P}) / close - 1 AS f20, lead(close, 60) OVER ({P}) / close - 1 AS f60, "
+    "pn": f"SELECT code, trade_date, close, volume, lead(close, 5) OVER ({P}) / close - 1 AS f5, lead(close, 20) OVER ({P}) / close - 1 AS f20, lead(close, 60) OVER ({P}) / close - 1 AS f60, "
           f"min(close) OVER ({P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / close - 1 AS dd, row_number() OVER ({P}) AS i, count(*) OVER (PARTITION BY code) AS n, "
           f"close / lag(close, 20) OVER ({P}) - 1 AS r20, avg(close) OVER ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) / close AS m20 FROM bars",
     "pk": "SELECT *, f20 + 0.5 * dd AS ls FROM pn WHERE n >= 320 AND i > 250 AND f20 IS NOT NULL",
@@ -316,12 +316,21 @@ def b02(t):
     return small_panel(t).select("trade_date", "code", "label", "label_score", "forward_5d_return", "forward_60d_return", "RET20", "MA20", "ocf_to_eps")
 
 
-@query("panel_b02_full_training_set")
+FULL_PANEL = {
+    **factor_ctes(ALL), **PANEL, "pc": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx FROM (SELECT DISTINCT trade_date FROM pk)", **prop_ctes("pk", "pc"),
+    "pl": "SELECT trade_date, code, ls, f5, f20, f60, dd, o, least(9, floor(row_number() OVER (PARTITION BY trade_date ORDER BY ls, code) * 10 / count(*) OVER (PARTITION BY trade_date))) AS label FROM pf"}
+FULL_VALUES = {"label": "label", "label_score": "ls", "forward_5d_return": "f5", "forward_20d_return": "f20", "forward_60d_return": "f60", "forward_20d_drawdown": "pl.dd",
+               **{n: f"fa.{n} / {UNITS.get(n, 1.0)!r}" for n in ALL}, **{n: f"pv.{c}" for n, c in PROP_COLUMNS.items()}, "ocf_to_eps": "o"}
+
+
+@query("panel_b02_full_training_set", with_ctes("fx", "market", "funds").rstrip() + ", " + stored(FULL_PANEL) + " SELECT year(pl.trade_date) AS year, count(*) AS rows, "
+       + ", ".join(r(f"avg({e})", n) for n, e in FULL_VALUES.items()) + " FROM pl JOIN fa ON fa.code = pl.code AND fa.trade_date = pl.trade_date "
+         "JOIN pv ON pv.code = pl.code AND pv.trade_date = pl.trade_date GROUP BY 1")
 def b02_full(t):
-    """The whole panel (300 factors, labels, propagation, fundamentals), reported per year."""
+    """The whole panel (300 factors, labels, propagation, fundamentals): the mean of every column per year."""
     panel, _ = training_panel(cut_lineage(t.bars()), t.market_bars(), t.fundamentals(), propagation_options=PANEL_PROP)
     return panel.groupBy(F.year("trade_date").alias("year")).agg(
-        F.count("*").alias("rows"), F.avg("label").alias("label"), *[F.avg(c).alias(c) for c in (*ROBUST, *pr.FEATURES, "ocf_to_eps")])
+        F.count("*").alias("rows"), *[F.avg(F.col(c) / UNITS.get(c, 1.0)).alias(c) for c in FULL_VALUES])
 
 
 @query("ml_m02_calendar_split", with_ctes("scored", d="SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM scored)",
