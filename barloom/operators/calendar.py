@@ -77,11 +77,12 @@ def calendar_map(calendar: DataFrame) -> DataFrame:
 def map_to_trading_day(events: DataFrame, calendar: DataFrame, ts: str, cutoff: str = "15:00:00",
                        name: str = "feature_date") -> DataFrame:
     """Trading day on which an event is usable: same day up to the cutoff (inclusive), else
-    the next one. Events outside the calendar are dropped. An equi join on the day."""
+    the next one. Events outside the calendar are dropped. An equi join on the day; the map has one row per calendar
+    day between the first and the last trading day (36,525 a century), so it is broadcast and raw events stay where they are."""
     stamp = as_col(ts)
     in_time = stamp <= F.to_timestamp(F.concat_ws(" ", F.col("day").cast("string"), F.lit(cutoff))).cast(
         events.schema[ts].dataType)
-    joined = events.withColumn("day", F.to_date(stamp)).join(calendar_map(calendar), "day")
+    joined = events.withColumn("day", F.to_date(stamp)).join(F.broadcast(calendar_map(calendar)), "day")
     target = (F.when(~F.col("open_day"), F.col("this_or_next"))
               .when(in_time, F.col("day")).otherwise(F.col("next_day")))
     return (joined.withColumn(name, target).where(F.col(name).isNotNull())

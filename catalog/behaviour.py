@@ -399,42 +399,56 @@ def j12(t):
     return rg.sector_context(t.sectors().select("code"), t.sectors(), rg.latest_strength(strength(t)))
 
 
-EVT = ("SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_acctbal < 0 THEN 'preannouncement' ELSE 'buyback' END AS type, "
-       "CASE WHEN s_acctbal < 0 THEN 'warning' ELSE 'info' END AS level, DATE '2001-01-01' + CAST(s_suppkey % 30 AS INTEGER) AS date FROM supplier WHERE s_suppkey % 2 = 1")
+# Raw sources as they land, many rows a code, all text: lock-ups and insider trades are sales lines, pre-announcements and
+# buy-backs are orders. Dates come in two forms or unreadable, codes without leading zeros, numbers with gaps.
+AS_OF = "2000-06-30"
+_DAY = "CASE WHEN l_linenumber = 1 THEN strftime(l_shipdate, '%Y%m%d') WHEN l_linenumber = 5 THEN 'unknown' ELSE strftime(l_shipdate, '%Y-%m-%d') END"
+_TYPES = (("1-URGENT", "预减"), ("2-HIGH", "首亏"), ("3-MEDIUM", "预增"), ("4-NOT SPECIFIED", "扭亏"))
+_ETYPE = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN '{e}'" for p, e in _TYPES) + " END"
+_LINE = "SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS d, l_discount * 100 AS pct, l_linenumber AS ln, CASE l_returnflag WHEN 'R' THEN -l_quantity ELSE l_quantity END AS shares FROM lineitem WHERE l_linenumber <> 5"
+_FILED = f"SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(o_orderdate AS DATE) AS d, {_ETYPE} AS etype, o_orderstatus AS st FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON o_orderkey = l_orderkey"
+STRUCTURED_SQL = (
+    f"SELECT code, 'lockup' AS type, d AS date, CASE WHEN d >= DATE '{AS_OF}' AND pct >= 3 THEN 'warning' ELSE 'info' END AS level FROM ({_LINE}) WHERE d BETWEEN DATE '{AS_OF}' - 30 AND DATE '{AS_OF}' + 45 "
+    f"UNION ALL SELECT code, 'preannouncement', d, CASE WHEN etype IN ('预减', '首亏') THEN 'warning' ELSE 'info' END FROM (SELECT * FROM ({_FILED}) WHERE etype IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC, etype DESC) = 1) "
+    f"UNION ALL SELECT code, CASE WHEN net > 0 THEN 'insider_buy' ELSE 'insider_sell' END, NULL, CASE WHEN net > 0 THEN 'info' ELSE 'warning' END FROM (SELECT code, sum(shares) AS net FROM ({_LINE}) WHERE ln <> 6 AND d >= DATE '{AS_OF}' - 30 GROUP BY 1) WHERE net <> 0 "
+    f"UNION ALL SELECT DISTINCT code, 'buyback', CAST(NULL AS DATE), 'info' FROM ({_FILED}) WHERE st = 'P' AND d >= DATE '{AS_OF}' - 30")
 
 
-def sector_events(t):
-    s = t.table("supplier").where(F.col("s_suppkey") % 2 == 1)
-    bad = F.col("s_acctbal") < 0
-    return s.select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.when(bad, "preannouncement").otherwise("buyback").alias("type"),
-                    F.date_add(F.lit("2001-01-01").cast("date"), (F.col("s_suppkey") % 30).cast("int")).alias("date"), F.when(bad, "warning").otherwise("info").alias("level"), F.lit("").alias("note"))
+def structured_rows(t):
+    """Typed events of all suppliers from the raw sources."""
+    line = F.col("l_linenumber")
+    lines = t.table("lineitem").select(
+        F.concat(F.lit(" "), F.col("l_suppkey").cast("string")).alias("code"), (F.col("l_discount") * 100).cast("string").alias("float_pct"),
+        F.when(line == 1, F.date_format("l_shipdate", "yyyyMMdd")).when(line == 5, "unknown").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"),
+        F.when(line == 6, "--").otherwise(F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise(""), F.col("l_quantity").cast("string"))).alias("shares"))
+    etype = F.lit(None).cast("string")
+    for priority, name in _TYPES:
+        etype = F.when(F.col("o_orderpriority") == priority, name).otherwise(etype)
+    filed = t._order_suppliers().select(F.col("l_suppkey").cast("string").alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("adate"), etype.alias("etype"), "o_orderstatus")
+    return se.structured_events(
+        AS_OF, lockups=se.cleaned(lines, "day").select("code", F.col("day").alias("release_date"), F.col("float_pct").try_cast("double").alias("float_pct")),
+        preannouncements=se.cleaned(filed, "adate", text="etype"),
+        insider=se.cleaned(lines, "day", "shares", since=AS_OF).withColumnRenamed("day", "adate"),
+        buybacks=se.cleaned(filed.where("o_orderstatus = 'P'"), "adate", since=AS_OF))
 
 
-@query("sector_j13_peer_events", with_ctes("sectors", e=EVT, tp="SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE level WHEN 'warning' THEN 0 ELSE 1 END, type, date) = 1",
-       pe="SELECT tp.*, sector, row_number() OVER (PARTITION BY sector ORDER BY code) AS k FROM tp JOIN sectors USING (code) QUALIFY k <= 2")
-       + "SELECT w.code, w.sector, pe.code AS peer, pe.type AS peer_type, pe.date, pe.k AS link_no FROM sectors w JOIN pe USING (sector) WHERE CAST(w.code AS INTEGER) % 2 = 0")
-def j13(t):
-    watch = t.sectors().where(F.col("code").cast("int") % 2 == 0).select("code")
-    return se.peer_events(sector_events(t), t.sectors(), watch)
+WATCHED = "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code FROM supplier WHERE s_acctbal > 0"
 
 
-L = "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_acctbal, CAST(s_suppkey % 100 AS INTEGER) AS k FROM supplier"
-STRUCTURED_SQL = (
-    f"SELECT code, 'lockup' AS type, DATE '2001-01-01' + k - 30 AS date, CASE WHEN k >= 30 AND s_acctbal / 1000 >= 3 THEN 'warning' ELSE 'info' END AS level FROM ({L}) WHERE k <= 75 "
-    f"UNION ALL SELECT code, CASE WHEN s_acctbal > 0 THEN 'insider_buy' ELSE 'insider_sell' END, NULL, CASE WHEN s_acctbal > 0 THEN 'info' ELSE 'warning' END FROM ({L}) WHERE s_acctbal <> 0 "
-    f"UNION ALL SELECT code, 'preannouncement', DATE '2001-01-01', CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'info' END FROM ({L}) "
-    f"UNION ALL SELECT code, 'buyback', NULL, 'info' FROM ({L}) WHERE k >= 30")
+@query("sector_j13_peer_events", with_ctes("sectors", e=STRUCTURED_SQL, w=WATCHED, tp="SELECT * FROM e WHERE code NOT IN (SELECT code FROM w) QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE level WHEN 'warning' THEN 0 ELSE 1 END, type, date NULLS FIRST) = 1",
+       pe="SELECT tp.*, sector, row_number() OVER (PARTITION BY sector ORDER BY code) AS k FROM tp JOIN sectors USING (code) QUALIFY k <= 2")
+       + "SELECT w.code, s.sector, pe.code AS peer, pe.type AS peer_type, pe.date, pe.k AS link_no FROM w JOIN sectors s USING (code) JOIN pe USING (sector)")
+def j13(t):
+    """Links of every watched supplier to peers with events; a peer has many events, and only its most severe counts."""
+    watch = t.table("supplier").where("s_acctbal > 0").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"))
+    return se.peer_events(structured_rows(t), t.sectors(), watch)
 
 
-def structured_rows(t):
-    s = t.table("supplier").withColumns({"code": F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), "k": (F.col("s_suppkey") % 100).cast("int")})
-    day = F.date_add(F.lit("2001-01-01").cast("date"), F.col("k") - 30)
-    new_year = F.lit("2001-01-01").cast("date")
-    return se.structured_events(
-        "2001-01-01", lockups=s.select("code", day.alias("release_date"), (F.col("s_acctbal") / 1000).alias("float_pct")),
-        preannouncements=s.select("code", new_year.alias("adate"), F.when(F.col("k") % 2 == 0, "首亏").otherwise("预增").alias("etype")),
-        insider=s.select("code", new_year.alias("adate"), F.col("s_acctbal").alias("shares")),
-        buybacks=s.select("code", F.date_add(new_year, F.least(F.col("k") - 60, F.lit(0))).alias("adate")))
+@query("events_t07_first_events", f"WITH e AS ({STRUCTURED_SQL}), k AS (SELECT *, CASE level WHEN 'warning' THEN 0 ELSE 1 END AS sev, row_number() OVER (PARTITION BY code ORDER BY CASE level WHEN 'warning' THEN 0 ELSE 1 END, type, date NULLS FIRST) AS i FROM e) "
+       "SELECT code, list(type || ' ' || coalesce(CAST(date AS VARCHAR), '-') ORDER BY i) AS types FROM k WHERE i <= 6 GROUP BY 1")
+def t07(t):
+    first = se.events_by_code(structured_rows(t), 6)
+    return first.select("code", F.transform("events", lambda e: F.concat_ws(" ", e["type"], F.coalesce(e["date"].cast("string"), F.lit("-")))).alias("types"))
 
 
 @query("events_b07_structured", STRUCTURED_SQL)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions import dates as dt
 from barloom.operators import propagation as pr
 from barloom.operators import regime as rg
 from barloom.operators import signals as sg
-from barloom.operators import structured_events as se
 from barloom.sources import merge as mg
 from barloom.sources import scans as sc
-from catalog.behaviour import EVT, PROP, sector_events
+from barloom.operators.labels import split_history
+from barloom.session import ensure_checkpoint_dir
+from catalog.behaviour import PROP, PROP_COLUMNS, prop_ctes, stored
 from catalog.panel import BULL, P
 from catalog.registry import query, r, with_ctes
 
@@ -33,24 +36,80 @@ def w51_latest(t):
     return pr.latest_volume_z(t.bars())
 
 
-@query("prop_j01_feature_join", with_ctes("bars") + "SELECT count(*) AS rows, count(DISTINCT code) AS codes FROM bars")
+@query("prop_j01_feature_join", with_ctes("bars", "cal").rstrip() + ", " + stored(prop_ctes()) + f" SELECT b.code, b.trade_date, "
+       + ", ".join(r(f"CASE WHEN b.trade_date >= DATE '1998-01-01' THEN {c} ELSE 0 END", n) for n, c in PROP_COLUMNS.items()) + " FROM bars b JOIN pv USING (code, trade_date)")
 def j01(t):
-    """Features joined to the panel: every panel row is kept once and no feature is missing."""
-    out = pr.add_propagation(t.bars(), pr.propagation_features(t.bars(), t.calendar(), **PROP))
-    return out.where(F.col(pr.FEATURES[6]).isNotNull()).agg(F.count("*").alias("rows"), F.count_distinct("code").alias("codes"))
+    """Features joined to the panel: every bar is kept once with its features; rows without any (here before 1998) get 0."""
+    features = pr.propagation_features(t.bars(), t.calendar(), **PROP).where(F.col("trade_date") >= F.lit("1998-01-01").cast("date"))
+    return pr.add_propagation(t.bars(), features).select("code", "trade_date", *pr.FEATURES)
 
 
-@query("events_t07_first_events", f"WITH e AS ({EVT}) SELECT code, list(type ORDER BY CASE level WHEN 'warning' THEN 0 ELSE 1 END, type, date) AS types FROM e GROUP BY 1")
-def t07(t):
-    return se.events_by_code(sector_events(t), 6).select("code", F.transform("events", lambda e: e["type"]).alias("types"))
+CHUNKS = ("SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CAST(d AS DATE) AS chunk_start, CASE WHEN d < DATE '2000-06-05' OR s_acctbal > 5000 THEN 'done' ELSE 'failed' END AS status FROM supplier, "
+          "(SELECT unnest(generate_series(TIMESTAMP '2000-01-05', TIMESTAMP '2000-11-20', INTERVAL 1 MONTH)) AS d)")
+SOME_CODES = ("000001", "000004", "000007")
 
 
-@query("scan_s09_progress", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, count(*) FILTER (WHERE month(d) % 2 = 1) AS done, count(*) AS chunks FROM supplier, "
-       "(SELECT unnest(generate_series(TIMESTAMP '2000-01-05', TIMESTAMP '2000-11-20', INTERVAL 1 MONTH)) AS d) GROUP BY 1")
+@query("scan_s09_progress", f"SELECT code, chunk_start, status, 'some' AS scan FROM ({CHUNKS}) WHERE code IN {SOME_CODES} UNION ALL SELECT code, chunk_start, status, 'failed' FROM ({CHUNKS}) WHERE status = 'failed'")
 def s09(t):
-    ranges = t.sectors().select("code", F.lit("2000-01-05").cast("date").alias("start"), F.lit("2000-11-20").cast("date").alias("end"))
-    progress = dt.month_chunks(ranges, 1)
-    return progress.groupBy("code").agg(F.count_if(F.month("chunk_start") % 2 == 1).alias("done"), F.count("*").alias("chunks"))
+    """Progress scans over all suppliers' chunks: of some codes, and of all failed chunks."""
+    s = t.table("supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), "s_acctbal", F.lit("2000-01-05").cast("date").alias("start"), F.lit("2000-11-20").cast("date").alias("end"))
+    done = (F.col("chunk_start") < F.lit("2000-06-05").cast("date")) | (F.col("s_acctbal") > 5000)
+    progress = dt.month_chunks(s, 1).select("code", "chunk_start", F.when(done, "done").otherwise("failed").alias("status"))
+    return sc.chunk_progress(progress, SOME_CODES).withColumn("scan", F.lit("some")).unionByName(sc.chunk_progress(progress, status="failed").withColumn("scan", F.lit("failed")))
+
+
+def folder(t, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("bars_k01_k02_panel_files", with_ctes("bars") + f"SELECT code, trade_date, CAST(year(trade_date) AS INTEGER) AS year, {r('CASE WHEN year(trade_date) = 1997 THEN close * 2 ELSE close END', 'close', 8)} FROM bars "
+       "UNION ALL SELECT 'added', DATE '1997-02-03', 1997, 5.0", 8)
+def k01(t):
+    """The panel written by year, one year of it merged with updates and a new code and written over, and read back."""
+    path = folder(t, "panel")
+    mg.write_panel(t.bars().select("code", "trade_date", "close"), path)
+    stored = t.spark.read.parquet(path)
+    updates = stored.where("year = 1997").select("code", "trade_date", (F.col("close") * 2).alias("close"), F.lit(1).alias("seq"))
+    updates = updates.unionByName(t.spark.range(1).select(F.lit("added").alias("code"), F.lit("1997-02-03").cast("date").alias("trade_date"), F.lit(5.0).alias("close"), F.lit(1).alias("seq")))
+    merged = mg.merge_latest(stored.drop("year"), updates, ["code", "trade_date"], sequence="seq").drop("seq")
+    mg.refresh_partitions(t.spark, merged, updates, path)
+    return t.spark.read.parquet(path).select("code", "trade_date", F.col("year").cast("int").alias("year"), "close")
+
+
+@query("merge_k04_announcements", with_ctes("anns", u="SELECT o_orderkey, code, published_at, CASE WHEN o_orderkey % 3 = 0 THEN 'corrected ' || title ELSE title END AS title FROM anns")
+       + "SELECT o_orderkey || '-' || code AS announcement_id, code, title, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS seq FROM u "
+         "UNION ALL SELECT 'new-' || o_orderkey || '-' || code, code, title, 1 FROM anns WHERE o_orderkey % 7 = 0")
+def k04(t):
+    """Keyed upsert of all announcements: a third is corrected twice (the later correction counts), some are new."""
+    base = t.announcements().select("announcement_id", "code", "title", F.lit(0).alias("seq"))
+    key = F.split("announcement_id", "-")[0].cast("long")
+    twice = base.where(key % 3 == 0)
+    updates = twice.withColumns({"title": F.concat(F.lit("corrected "), "title"), "seq": F.lit(2)}).unionByName(
+        twice.withColumns({"title": F.lit("draft"), "seq": F.lit(1)})).unionByName(
+        base.where(key % 7 == 0).withColumns({"announcement_id": F.concat(F.lit("new-"), "announcement_id"), "seq": F.lit(1)}))
+    return mg.merge_latest(base, updates, ["announcement_id", "code"], sequence="seq")
+
+
+@query("merge_k08_decision_log", with_ctes("signals") + f"SELECT CASE action WHEN 'BUY' THEN 'r1' WHEN 'SELL' THEN 'r2' ELSE 'r3' END AS run_id, id, {r('confidence')} FROM signals")
+def k08(t):
+    """Three runs added to the log, the second one twice: the repeated run replaces itself."""
+    path = folder(t, "log")
+    for run, action in (("r1", "BUY"), ("r2", "SELL"), ("r3", "HOLD"), ("r2", "SELL")):
+        mg.append_log(t.signals().where(F.col("action") == action).select("id", "confidence"), path, run)
+    return t.spark.read.parquet(path).select("run_id", "id", "confidence")
+
+
+@query("merge_k09_run_report", with_ctes("bars", c="SELECT code, count(*) AS n FROM bars GROUP BY 1") + "SELECT 'date' AS kind, CAST(trade_date AS VARCHAR) AS name, count(DISTINCT code) AS n, NULL AS reason FROM bars GROUP BY 2 "
+       "UNION ALL SELECT 'skipped', code, n, '<540' FROM c WHERE n < 540")
+def k09(t):
+    """Report of a run as JSON lines: codes per date and the instruments left out, read back."""
+    path = folder(t, "report")
+    bars = t.bars()
+    dates = bars.groupBy("trade_date").agg(F.count_distinct("code").alias("n")).select(F.lit("date").alias("kind"), F.col("trade_date").cast("string").alias("name"), "n", F.lit(None).cast("string").alias("reason"))
+    skipped = split_history(bars, 540)[1].select(F.lit("skipped").alias("kind"), F.col("code").alias("name"), F.col("rows").alias("n"), "reason")
+    report = dates.unionByName(skipped)
+    mg.write_report(report, path)
+    return t.spark.read.schema(report.schema).json(path)
 
 
 @query("signal_s12_samples", with_ctes("signals", s="SELECT *, row_number() OVER (PARTITION BY action ORDER BY run_ts, id) AS sample_no, count(*) OVER (PARTITION BY action) AS n FROM signals WHERE action <> 'HOLD'")
