@@ -41,15 +41,17 @@ def _range_no(place: Column, low: Column, high: Column, rows: Column) -> Column:
 
 def _counted(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Distinct (keys, value, ties) with the count of smaller values (``below``) and of the group (``total``)."""
+    for k in keys:  # the joins below would add this on one side only, and the sides could not share an exchange
+        values = values.where(F.col(k).isNotNull())
     place = _spread(F.col(value))
     known = F.when(~F.isnan(F.col(value).cast("double")), place)
     extremes = values.groupBy(*keys).agg(F.min(known).alias("__lo"), F.max(known).alias("__hi"), F.count("*").alias("__m"), F.sum("ties").alias("total"))
     ranged = _joined(values, extremes, keys).withColumn("__range", _range_no(
         F.when(F.isnan(F.col(value).cast("double")), F.lit(float("nan"))).otherwise(place), F.col("__lo"), F.col("__hi"), F.col("__m"))).drop("__lo", "__hi", "__m")
     sizes = ranged.groupBy(*keys, "__range").agg(F.sum("ties").alias("__size"))
-    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__size")
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
     sizes = sizes.select(*keys, "__range", before.alias("__before"))
-    inside = F.sum("ties").over(Window.partitionBy(*keys, "__range").orderBy(value)) - F.col("ties")
+    inside = F.sum("ties").over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties")
     ranged = ranged.withColumn("__inside", inside)
     return _joined(ranged, sizes, [*keys, "__range"]).select(
         *keys, value, "ties", (F.col("__before") + F.col("__inside")).alias("below"), "total")
@@ -118,7 +120,7 @@ def positions(df: DataFrame, col: str, by: str = "trade_date", tie: str = "code"
     subs = placed.where(F.col(col).isNotNull()).groupBy(by, col, "__sub").agg(F.count("*").alias("__n"))
     counted = _counted(subs.groupBy(by, F.col(col).alias("value")).agg(F.sum("__n").alias("ties")), [by])
     counted = counted.select(by, F.col("value").alias(col), "below", F.col("total").alias("__total"))
-    order = Window.partitionBy(by, col).orderBy("__sub")
+    order = Window.partitionBy(by, col).orderBy("__sub").rowsBetween(Window.unboundedPreceding, 0)
     subs = subs.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).drop("__n")
     lookup = _joined(subs, counted, [by, col]).select(by, col, "__sub", (F.col("below") + F.col("__before")).alias("__base"), "__total")
     inside = F.row_number().over(Window.partitionBy(by, col, "__sub").orderBy("__place", tie))
