@@ -191,16 +191,34 @@ def unpivot_features(df: DataFrame, features: Sequence[str], target: str,
                      F.expr(f"stack({len(features)}, {rows}) AS (feature, value, meets)"))
 
 
-def evaluate_features(df: DataFrame, features: Sequence[str], target: str, *, min_per_date: int = 30,
-                      conditions: dict[str, str] | None = None) -> DataFrame:
-    """IC summary per feature over all rows and, where a condition is named, over the rows that
-    meet it (``scope``)."""
+def _scoped(df: DataFrame, features: Sequence[str], target: str, conditions: dict[str, str] | None) -> DataFrame:
+    """Long form with ``scope``: every row counts for all, and again for conditional where its feature's condition holds."""
     longs = unpivot_features(df, features, target, conditions)
-    scopes = longs.withColumn("scope", F.explode(F.when(
+    return longs.withColumn("scope", F.explode(F.when(
         F.col("meets") & F.col("feature").isin(*(conditions or {"": ""})), F.array(F.lit("all"), F.lit("conditional")))
         .otherwise(F.array(F.lit("all")))))
+
+
+def evaluate_features(df: DataFrame, features: Sequence[str], target: str, *, min_per_date: int = 30,
+                      conditions: dict[str, str] | None = None) -> DataFrame:
+    """IC summary per feature over all rows and, where a condition is named, over the rows that
+    meet it (``scope``), with the share of the scope's rows where feature and target are known."""
+    scopes = _scoped(df, features, target, conditions)
     ics = ic_by_date(scopes, "value", "target", min_rows=min_per_date, by=["feature", "scope", "trade_date"])
-    return summarize_ic(ics, ["feature", "scope"])
+    known = F.col("value").isNotNull() & F.col("target").isNotNull()
+    covered = scopes.groupBy("feature", "scope").agg(F.count_if(known).alias("known_rows"), (F.count_if(known) / F.count("*")).alias("coverage"))
+    return covered.join(summarize_ic(ics, ["feature", "scope"]), ["feature", "scope"], "left")
+
+
+def feature_deciles(df: DataFrame, features: Sequence[str], target: str, *, min_per_date: int = 30,
+                    conditions: dict[str, str] | None = None) -> DataFrame:
+    """Mean target per decile of each feature and scope: per date first, then over the dates with enough rows."""
+    rows = _scoped(df, features, target, conditions).where(F.col("value").isNotNull() & F.col("target").isNotNull())
+    rows = rows.withColumn("__key", F.struct("feature", "scope", "trade_date"))
+    ok = rows.groupBy("__key").agg(F.count("*").alias("n"), (F.min("value") < F.max("value")).alias("varies"))
+    rows = rows.join(ok.where((F.col("n") >= min_per_date) & F.col("varies")).select("__key"), "__key", "left_semi")
+    per = decile(rows, "value", "__key").groupBy("feature", "scope", "trade_date", "decile").agg(F.avg("target").alias("m"))
+    return per.groupBy("feature", "scope", "decile").agg(F.avg("m").alias("mean_return"), F.count("*").alias("dates"))
 
 
 def panel_report(panel: DataFrame) -> DataFrame:

@@ -12,11 +12,12 @@ from barloom.operators import research as rs
 from barloom.operators import signals as sg
 from barloom.operators import structured_events as se
 from barloom.operators.asof import latest_per_key
-from barloom.operators.evaluate import coverage, evaluate_features, event_study
+from barloom.operators.evaluate import coverage, evaluate_features, event_study, feature_deciles
 from barloom.operators.labels import forward_returns
 from barloom.plans.event_panel import event_panel
 from barloom.plans.models import apply_calibration, fit_calibration
 from catalog.panel import P, pct
+from barloom.session import cut_lineage
 from catalog.registry import query, r, with_ctes
 
 KINDS = ("earnings", "holding", "inquiry", "risk", "other")
@@ -136,12 +137,28 @@ def _ic_part(f: str, scope: str, cond: str) -> str:
             f"{pct(f, 'trade_date')} AS rs, {pct('y', 'trade_date')} AS rt FROM (SELECT * FROM ev WHERE {f} IS NOT NULL AND {cond})) GROUP BY trade_date HAVING count(*) >= 5 AND min(s) < max(s) AND min(t) < max(t)")
 
 
-@query("eval_b04_feature_report", with_ctes("bars", "anns", "cal", **AMAP, **DA, **AF, **LAB, ics=" UNION ALL ".join(
-    _ic_part(f, s, c) for f in FEATS for s, c in (("all", "true"), ("conditional", "has_ann_7d > 0"))))
-    + f"SELECT feature, scope, {r('avg(ic)', 'mean')}, {r('stddev_samp(ic)', 'std')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, {r('median(ic)', 'median')}, "
-      f"{r('avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END)', 'positive_rate')}, count(*) AS days FROM ics WHERE ic IS NOT NULL GROUP BY 1, 2")
+SCOPES = (("all", "true"), ("conditional", "has_ann_7d > 0"))
+
+
+@query("eval_b04_feature_report", with_ctes("bars", "anns", "cal", **AMAP, **DA, **AF, **LAB, ics=" UNION ALL ".join(_ic_part(f, s, c) for f in FEATS for s, c in SCOPES),
+    cv=" UNION ALL ".join(f"SELECT '{f}' AS feature, '{s}' AS scope, count({f}) AS known_rows, count({f}) / count(*) AS coverage FROM ev WHERE {c}" for f in FEATS for s, c in SCOPES),
+    sm="SELECT feature, scope, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, median(ic) AS median, "
+       "avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0 END) AS positive_rate, count(*) AS days FROM ics WHERE ic IS NOT NULL GROUP BY 1, 2")
+    + f"SELECT feature, scope, known_rows, {r('coverage', 'coverage')}, " + ", ".join(r(c, c) for c in ("mean", "std", "icir", "median", "positive_rate")) + ", days FROM cv LEFT JOIN sm USING (feature, scope)")
 def b04(t):
-    return evaluate_features(labelled_events(t), FEATS, "y", min_per_date=5, conditions={f: "has_ann_7d" for f in FEATS})
+    """IC and coverage of every feature, over all rows and over rows with recent filings."""
+    return evaluate_features(cut_lineage(labelled_events(t)), FEATS, "y", min_per_date=5, conditions={f: "has_ann_7d" for f in FEATS})
+
+
+@query("eval_b04_feature_deciles", with_ctes("bars", "anns", "cal", **AMAP, **DA, **AF, **LAB, al=" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{s}' AS scope, trade_date, code, {f} AS v, y FROM ev WHERE {f} IS NOT NULL AND {c}" for f in FEATS for s, c in SCOPES),
+    dc="SELECT *, least(9, floor(row_number() OVER (PARTITION BY feature, scope, trade_date ORDER BY v, code) * 10 / count(*) OVER w)) AS decile, count(*) OVER w AS n, min(v) OVER w < max(v) OVER w AS varies FROM al "
+       "WINDOW w AS (PARTITION BY feature, scope, trade_date)",
+    dm2="SELECT feature, scope, trade_date, decile, avg(y) AS m FROM dc WHERE n >= 10 AND varies GROUP BY 1, 2, 3, 4")
+    + f"SELECT feature, scope, CAST(decile AS INTEGER) AS decile, {r('avg(m)', 'mean_return')}, count(*) AS dates FROM dm2 GROUP BY 1, 2, 3")
+def b04_deciles(t):
+    """Mean return by decile of every feature and scope."""
+    return feature_deciles(cut_lineage(labelled_events(t)), FEATS, "y", min_per_date=10, conditions={f: "has_ann_7d" for f in FEATS})
 
 
 @query("events_a18_clock_profile", f"SELECT count(*) AS rows, count(DISTINCT user_id) AS codes, {r('avg(CASE WHEN CAST(ts AS TIME) = TIME $$00:00:00$$ THEN 1.0 ELSE 0 END)', 'midnight_rate')}, "
