@@ -7,9 +7,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from barloom.operators import structured_events as se
+from barloom.operators.calendar import build_calendar, map_to_trading_day
 from barloom.plans import daily_run as dr
 from barloom.plans import scoring as sg
-from barloom.sources.merge import append_log
+from barloom.sources.merge import append_log, write_panel
 from barloom.streaming import watch as wt
 
 DAY = dt.date(2024, 1, 2)
@@ -58,6 +60,57 @@ def test_a_repeated_run_is_logged_once(spark, tmp_path):
     assert sorted((r.run_id, r.code, r.v) for r in spark.read.parquet(log).collect()) == [("r1", "a", 1), ("r1", "b", 1), ("r2", "a", 2), ("r2", "b", 2)]
 
 
+def test_pool_takes_candidates_into_free_places(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(100)]
+    lead = [0.05 if i % 5 == 0 else -0.01 for i in range(100)]
+    moves = {"lead": lead, "near": [0.0, *[0.7 * x for x in lead[:-1]]], "far": [0.0, *[0.2 * x + 0.01 * (i % 3) for i, x in enumerate(lead[:-1])]], "own": [0.001 * (i % 7) for i in range(100)]}
+    rows = []
+    for code, steps in moves.items():
+        price = 10.0
+        for day, x in zip(days, steps):
+            price *= 1 + x
+            rows.append((code, day, price))
+    bars = spark.createDataFrame(rows, "code string, trade_date date, close double")
+    quotes = spark.createDataFrame([("lead", 6.0), ("near", 0.0), ("far", 0.0), ("own", 1.0)], "code string, pct_change double")
+    table = lambda *codes: spark.createDataFrame([(c, "active") for c in codes] + [("gone", "closed")], "code string, status string")
+    inputs = dr.DailyInputs(pool=spark.createDataFrame([("lead",), ("own",)], "code string"), positions=table("own"), alerts=table("held"), quotes=quotes, bars=bars,
+                            market=bars, news=bars, raw_signals=bars, events=bars, sectors=bars)
+    pool = lambda **kw: {r.code: r.origin for r in dr.analysis_pool(inputs, min_corr=0.05, **kw).collect()}
+    own = {"lead": "pool", "own": "pool", "held": "alert"}
+    assert pool() == own | {"near": "candidate", "far": "candidate"}
+    assert pool(max_codes=4) == own | {"near": "candidate"} and pool(max_codes=3) == own and pool(max_codes=1) == own
+
+
+def test_raw_events_are_cleaned_and_netted(spark):
+    raw = spark.createDataFrame([(" 1", "20240110", "100"), ("1", "2024-01-20", "-300"), ("1", "2023-11-01", "999"), ("2", "unknown", "5"), ("2", "2024-01-20", "--"), ("", "2024-01-20", "1"),
+                                 (None, "2024-01-20", "1"), ("3", None, "1"), ("4", "2024-01-02", "7")], "code string, adate string, shares string")
+    clean = se.cleaned(raw, "adate", "shares", since="2024-01-31")
+    assert sorted((r.code, r.adate.day, r.shares) for r in clean.collect()) == [("000001", 10, 100.0), ("000001", 20, -300.0), ("000004", 2, 7.0)]
+    assert {(r.code, r.type) for r in se.insider_events(clean, "2024-01-31").collect()} == {("000001", "insider_sell"), ("000004", "insider_buy")}
+    events = spark.createDataFrame([("a", "lockup", dt.date(2024, 1, d), "info", "n") for d in range(1, 9)] + [("a", "z", None, "warning", "n")], "code string, type string, date date, level string, note string")
+    assert [(e.type, e.date and e.date.day) for e in se.events_by_code(events, 3).first().events] == [("z", None), ("lockup", 1), ("lockup", 2)]
+    assert len(se.events_by_code(events).first().events) == 9
+
+
+def test_raw_events_are_not_shuffled_by_day(spark):
+    events = spark.range(1000).select((F.lit("2024-01-02 10:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("ts"))
+    calendar = build_calendar(spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=i),) for i in range(60)], "trade_date date"))
+    plan = map_to_trading_day(events, calendar, "ts")._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Range (0, 1000")]  # from the result down to the raw rows
+    assert "BroadcastHashJoin" in above and "Exchange" not in above
+
+
+def test_large_years_become_several_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(40_000).select(F.hex(F.sha2(F.col("id").cast("string"), 256).cast("binary")).alias("code"), F.when(F.col("id") < 39_990, F.lit("2001-05-05")).otherwise(F.lit("2000-05-05")).cast("date").alias("trade_date"))
+        write_panel(rows, str(tmp_path / "panel"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {y: len(list((tmp_path / "panel" / f"year={y}").glob("*.parquet"))) for y in (2000, 2001)}
+    assert files[2000] == 1 and files[2001] > 3 and spark.read.parquet(str(tmp_path / "panel")).count() == 40_000
+
+
 FINAL = ("code string, name string, action string, confidence double, target_price double, stop_loss double, n int, close double, pct_change double, support_price double, "
          "resistance_price double, regime_floor double, held_stop double, held_target double, last_notified_at timestamp, held boolean")
 
