@@ -108,21 +108,32 @@ def run_universe(watch: DataFrame, pool: DataFrame, limit: int = 50) -> DataFram
         (F.col("rank0") == 0) | (F.col("run_place") <= limit)).select("code", "run_place")
 
 
+def _grams(df: DataFrame, col: str, sizes: Sequence[int], *keep: str) -> DataFrame:
+    """(keep, q, at, gram): every piece of q letters of a text with its place, for each q of ``sizes``; rows grow with the text."""
+    cells = df.select(*keep, F.col(col).alias("__t"), F.explode(F.array(*[F.lit(q) for q in sizes])).alias("q"))
+    cells = cells.where(F.length("__t") >= F.col("q"))
+    places = F.sequence(F.lit(1), F.length("__t") - F.col("q") + 1)
+    grams = F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(F.col("__t"), i, F.col("q")).alias("gram")))
+    return cells.select(*keep, "q", F.explode(grams).alias("g")).select(*keep, "q", "g.at", "g.gram")
+
+
 def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Code named in a text: a six-digit code wins, else the longest known name contained in it.
+    """Code named in a text: a six-digit code wins, else the longest known name contained in it (ties: the greatest code).
 
-    The pieces of a text that have the length of some name are keys, so the match is an equi join
-    and not a comparison of every text with every name. Only the distinct name lengths (a few
-    numbers) reach the driver."""
+    Each name is represented by one anchor, its piece of four letters (two for names of two or three) that the fewest
+    names hold. The pieces of the texts meet the anchors in an equi join, and what meets is verified against the whole
+    name. A text makes two rows a letter, whatever the names are, and the texts themselves move once."""
     asked = questions.withColumns({"direct": six_digits("text", standalone=True), "clean": comparable_name("text")})
     known = names.select(F.col("code").alias("hit"), comparable_name("name").alias("piece")).where(F.length("piece") >= 2)
-    lengths = [row["n"] for row in known.select(F.length("piece").alias("n")).distinct().collect()]
+    own = _grams(known.select("piece").distinct(), "piece", (2, 4), "piece").where(F.col("q") == F.when(F.length("piece") < 4, 2).otherwise(4))
+    held = own.groupBy("q", "gram").agg(F.count("*").alias("names"))
+    rarest = own.join(held, ["q", "gram"]).groupBy("piece").agg(F.min(F.struct("names", "at", "q", "gram")).alias("a"))
+    anchors = rarest.select("piece", F.col("a.q").alias("q"), F.col("a.gram").alias("gram"), F.col("a.at").alias("inside"))
     open_texts = asked.where(F.col("direct").isNull()).select("question_id", "clean")
-    sized = open_texts.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
-    starts = sized.where(F.length("clean") >= F.col("n")).withColumn(
-        "i", F.explode(F.sequence(F.lit(1), F.length("clean") - F.col("n") + 1)))
-    pieces = starts.select("question_id", F.substring(F.col("clean"), F.col("i"), F.col("n")).alias("piece"))
-    best = pieces.join(known, "piece").groupBy("question_id").agg(
+    met = _grams(open_texts, "clean", (2, 4), "question_id").join(anchors, ["q", "gram"]).select(
+        "question_id", (F.col("at") - F.col("inside") + 1).alias("start"), "piece").where(F.col("start") >= 1)
+    sure = met.join(open_texts, "question_id").where(F.substring(F.col("clean"), F.col("start"), F.length("piece")) == F.col("piece"))
+    best = sure.select("question_id", "piece").distinct().join(known, "piece").groupBy("question_id").agg(
         F.max_by("hit", F.struct(F.length("piece"), "hit")).alias("named"))
     return asked.join(best, "question_id", "left").select(
         "question_id", F.coalesce("direct", "named").alias("code"))

@@ -304,13 +304,17 @@ def json_items(t):
     return t.table("part").select("p_partkey", tx.json_items(F.to_json(F.array("p_brand", "p_type", "p_name")), 2).alias("items"))
 
 
-@query("text_t08_longest_name", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT conv_id * 1000 + turn AS question_id, arg_max(name, length(name) || '.' || name) AS code "
-       "FROM conversations LEFT JOIN n ON length(replace(name, ' ', '')) >= 2 AND contains(upper(replace(conversations.text || ' small ring', ' ', '')), upper(replace(name, ' ', ''))) GROUP BY 1")
+def _clean_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace(upper(replace({c}, 'ß', 'ss')), '<[^>]+>', '', 'g'), '{tx.NAME_NOISE.replace(chr(39), chr(39) * 2)}', '', 'g')"
+
+
+@query("text_t08_longest_name", f"WITH n AS (SELECT code, {_clean_sql('name')} AS piece FROM (SELECT CAST(item_id AS VARCHAR) AS code, array_to_string(string_split(text, ' ')[1:2], ' ') AS name FROM benchmark)), "
+       f"q AS (SELECT conv_id * 1000 + turn AS question_id, regexp_extract('x' || text || 'x', '[^0-9]([0-9]{{6}})[^0-9]', 1) AS direct, {_clean_sql('text')} AS clean FROM conversations) "
+       "SELECT question_id, coalesce(nullif(any_value(direct), ''), arg_max(code, printf('%09d', length(piece)) || code)) AS code FROM q LEFT JOIN n ON length(piece) >= 2 AND contains(clean, piece) GROUP BY 1")
 def longest_name(t):
-    """Texts (with a known name appended) matched to part names."""
-    asked = t.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-                                            F.concat(F.translate("text", "0123456789", ""), F.lit(" small ring")).alias("text"))
-    names = t.table("part").select("p_name").distinct().select(F.col("p_name").alias("code"), F.col("p_name").alias("name"))
+    """All turns of the conversations as they are, matched to names (the first two words of each benchmark item)."""
+    asked = t.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    names = t.table("benchmark").select(F.col("item_id").cast("string").alias("code"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"))
     return rs.match_names(asked, names)
 
 
