@@ -8,10 +8,11 @@ e + 1 at least are equal in both (pigeonhole), so a set with at most e light wor
 shares a word that is not light with every partner: those words are the join keys. A set with more light words is dealt
 again with the next seed; the last seed uses the light words too. Candidates are verified on the exact sets.
 
-Large groups: equal sets are one class first. Of the classes that share a key, the one with most shared keys is the
-pivot; the others are verified against it alone. After that only classes of one key that are still in different
-components are compared with each other, behind the Hamming distance of folded bit sketches. So no link between
-components is lost and the pairs of a group are never listed.
+Large groups: equal sets are one class first, and keys held by the same classes are one key. Of the classes that share a
+key, the one with most shared keys is the pivot; the others are verified against it alone. After that only classes of one
+key that are still in different components are compared with each other. So no link between components is lost and the
+pairs of a group are never listed. In both rounds pairs pass the Hamming distance of folded bit sketches first, then that
+of sketches as wide as the sets are large; whole sets are fetched only for pairs that both leave.
 """
 
 from __future__ import annotations
@@ -153,9 +154,24 @@ def _keys_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch of one bit or more a shingle, a power of two of words; empty where the folded sketch is as wide."""
+    words = 1 << max(0, (len(hashes) - 1) // 64).bit_length()
+    return parity(hashes, words) if words > FOLD_WORDS else np.zeros(0, np.uint64)
+
+
 def _apart(x: str, y: str) -> Column:
     """Hamming distance of two folded sketches; at most the symmetric difference."""
-    return sum((F.bit_count(F.col(f"{x}.f{i}").bitwiseXOR(F.col(f"{y}.f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{x}f{i}").bitwiseXOR(F.col(f"{y}f{i}"))) for i in range(FOLD_WORDS)), F.lit(0))
+
+
+def _wide_apart(x: str, y: str) -> Column:
+    """Hamming distance of two wide sketches, the wider one folded in two; 0 where one is missing or over twice as wide."""
+    w = F.least(F.size(x), F.size(y))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    narrow = lambda c: F.when(F.size(c) > w, F.zip_with(F.slice(c, F.lit(1), w), F.slice(c, w + 1, w), xor)).otherwise(F.col(c))
+    bits = F.aggregate(F.zip_with(narrow(x), narrow(y), xor), F.lit(0), lambda n, z: n + F.bit_count(z))
+    return F.when((w > 0) & (F.greatest(F.size(x), F.size(y)) <= 2 * w), bits).otherwise(0)
 
 
 def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id",
@@ -189,14 +205,19 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
                 rows = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows.astype(np.int64))], ["key", "node"])
 
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, words):
                 folds = np.stack([parity(s, FOLD_WORDS) for s in sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets),
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists([wide_parity(s) for s in sets]),
                      *[pa.array(folds[:, i].copy()) for i in range(FOLD_WORDS)]],
-                    ["node", "n", "members", *[f"f{i}" for i in range(FOLD_WORDS)]])
+                    ["node", "n", "wide", *[f"f{i}" for i in range(FOLD_WORDS)]])
+
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _sets(batch, words):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(sets)], ["doc_id", "members"])
 
     signed = scratch.keep(low.mapInArrow(sizes, "doc_id long, n_shingles long, h1 long, h2 long"), "signed")
     linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -205,25 +226,37 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
     copies = scratch.keep(linkable.join(classes, ["h1", "h2"]).where("doc_id <> node").select("doc_id").distinct()
                           .join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti"), "copies")
     keyed = by_ids(low.where("doc_id IS NOT NULL"), copies, "doc_id", "left_anti").mapInArrow(key_rows, "key long, node long")
-    counted = keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    shared = scratch.keep(counted, "shared")
+    # keys held by the same classes become one; should different groups get the same number, they are one larger group
+    of_key = Window.partitionBy("key")
+    half = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 32))).over(of_key)
+    counted = keyed.select("node", F.count("*").over(of_key).alias("c"), half(0).alias("s"), half(1).alias("t")).where("c > 1")
+    shared = scratch.keep(counted.select(F.xxhash64("c", "s", "t").alias("key"), "node", "c").distinct(), "shared")
     central = scratch.keep(shared.groupBy("node").agg(F.sum("c").alias("score")), "central")
-    folds = ", ".join(f"f{i} long" for i in range(FOLD_WORDS))
-    exact = scratch.keep(by_ids(low, central.select(F.col("node").alias("doc_id")), "doc_id")
-                         .mapInArrow(set_rows, f"node long, n long, members array<long>, {folds}"), "exact")
+    folds = [f"f{i}" for i in range(FOLD_WORDS)]
+    sketches = scratch.keep(by_ids(low, central.select(F.col("node").alias("doc_id")), "doc_id")
+                            .mapInArrow(sketch_rows, f"node long, n long, wide array<long>, {', '.join(f + ' long' for f in folds)}"), "sketches")
+    folded = sketches.select("node", "n", *folds)
+    side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in df.columns if c != "node"])
+    least, most = F.least("an", "bn"), F.greatest("an", "bn")
+    alike = least * of >= most * per  # by size
+    close = lambda apart: apart * per <= least * (of - per)  # noqa: E731  linked sets differ by no more
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, f"{name}_pairs")
-        members = by_ids(exact.select(F.col("node").alias("doc_id"), "members"), _keys_of(pairs), "doc_id")
+        wide = by_ids(sketches.select(F.col("node").alias("doc_id"), "n", "wide"), _keys_of(pairs), "doc_id").withColumnRenamed("doc_id", "node")
+        pairs = scratch.keep(pairs.join(side(wide, "a"), "a").join(side(wide, "b"), "b")
+                             .where(close(_wide_apart("awide", "bwide"))).select("a", "b").distinct(), f"{name}_close")
+        members = scratch.keep(by_ids(low, _keys_of(pairs), "doc_id").mapInArrow(set_rows, "doc_id long, members array<long>"), f"{name}_sets")
         both = (pairs.join(members.toDF("a", "sa"), "a").join(members.toDF("b", "sb"), "b"))
         same, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
         return scratch.keep(both.where(same * of >= per * (total - same)).select("a", "b"), name)
 
     pivots = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("m"))).alias("p"))
-    n = exact.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))  # more than one row only for repeated ids
     star = shared.join(pivots.select("key", F.negative("p.m").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    star = (star.join(n.toDF("a", "alo", "ahi"), "a").join(n.toDF("b", "blo", "bhi"), "b")
-            .where(f"ahi * {of} >= {per} * blo AND bhi * {of} >= {per} * alo").select("a", "b"))
+    # a repeated id has several sketches; any two of them may link
+    sized = folded.select("node", "n")
+    star = star.join(side(sized, "a"), "a").join(side(sized, "b"), "b").where(alike).select("a", "b").distinct()
+    star = star.join(side(folded, "a"), "a").join(side(folded, "b"), "b").where(alike & close(_apart("a", "b"))).select("a", "b").distinct()
     # an id on several texts ties their classes together
     owned = linkable.join(classes, ["h1", "h2"]).select("doc_id", "node").distinct()
     several = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("doc_id", "a")
@@ -232,14 +265,13 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, words: int = 5, i
     # what is left: classes of one key in different components
     placed = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.keep(placed.join(spread, "key").distinct().join(exact.drop("members"), "node"), "rest")
-    least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    left = rest.alias("x").join(rest.alias("y"), (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & (least * of >= most * per) & (_apart("x", "y") * per <= least * (of - per))))
-    more = verified(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "more")
+    rest = scratch.keep(placed.join(spread, "key").distinct().join(folded, "node"), "rest")
+    held = lambda x: rest.select("key", F.col("node").alias(x), *[F.col(c).alias(x + c) for c in ("component", "n", *folds)])
+    left = held("a").join(held("b"), "key").where((F.col("a") < F.col("b")) & (F.col("acomponent") != F.col("bcomponent"))
+                                                  & alike & close(_apart("a", "b")))
+    more = verified(left.select("a", "b").distinct(), "more")
     # links between components; nodes the first round did not link stand for themselves
-    at = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    at = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     joined = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = components(joined.distinct(), scratch, "second").toDF("component", "whole")
     placed = (classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
