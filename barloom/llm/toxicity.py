@@ -83,7 +83,8 @@ def _half(text: str) -> int:
 def train(docs: DataFrame, labels: DataFrame, train_where: Column, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
     """Model of the labelled documents with ``train_where`` true. Null labels, ids and texts teach nothing; an id with
-    several labels has its largest. Without examples of both classes every score is the share of toxic examples."""
+    several labels has its largest. Without examples of both classes, or without any text among them, every score is the
+    share of toxic examples."""
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark)
@@ -110,6 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, train_where: Column, id_col: str =
     words = scratch.keep(sample.mapInArrow(held, "word string, y int, half int").groupBy("word").agg(
         *[number(y, h).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]), "words")
     all_ = words.where("word = ''").first()
+    if all_ is None:  # labelled documents without a text: nothing but the labels to learn from
+        scratch.drop()
+        return Model(b"", b"", None, sizes[1] / (sizes[0] + sizes[1]))
     n = {(y, h): max(1, all_[f"n{y}{h}"]) for y in (0, 1) for h in (0, 1)}
 
     def errors(h: int) -> Column:

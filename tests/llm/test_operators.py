@@ -204,6 +204,14 @@ def raked_by_hand(facts):
     return {k: v / start[k] if start[k] else None for k, v in w.items()}
 
 
+@pytest.mark.parametrize("rows", [[], [(i, None) for i in range(4)]])
+def test_toxicity_without_texts(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert {r.score for r in toxicity.scored(docs, model).collect()} == ({0.25} if rows else set())
+
+
 def test_mixing_against_raking_by_hand(docs, empty, texts):
     rows = mixing.mixture(docs).collect()
     assert len(rows) == len(texts) and mixing.mixture(empty).count() == 0
