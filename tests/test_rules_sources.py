@@ -185,3 +185,18 @@ def test_boosting_goes_past_one_tree(spark):
     bounds = dict(train_end=dt.date(2024, 1, 20), val_start=dt.date(2024, 1, 21), val_end=dt.date(2024, 1, 30), test_start=dt.date(2024, 1, 31))
     model, scored = train_ranker(df, ["x", "y"], bounds, rounds=5, depth=2, min_rows=5)  # one such tree cannot hold a sum
     assert model.getNumTrees > 1 and scored.where("part = 'test' AND score IS NULL").count() == 0
+
+
+def test_date_range_of_all_codes(spark):
+    rows = [(c, dt.date(y, 5, 1), 1.0) for c in ("000001", "000002", "000005", None) for y in (1995, 1996, 2000, 2001)]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, close double")
+    assert sc.bars_between(bars, None, "1996-01-01", "2000-12-31").count() == 8
+    assert {r.code for r in sc.bars_between(bars, "000002", "1996-01-01", "2000-12-31").collect()} == {"000002"}
+
+
+def test_range_query_scans_all_codes(spark, tmp_path):
+    import catalog.queries as catalog
+    rows = [(i, 1, i, s, 2.0, 10.0 + i, dt.date(y, 5, 1)) for i, (s, y) in enumerate((s, y) for s in (1, 2, 7) for y in (1995, 1997))]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.code for r in catalog.QUERIES["bars_s05_range"](spark, str(tmp_path)).collect()} == {"000001", "000002", "000007"}
