@@ -111,3 +111,41 @@ def test_ndcg_with_ties(spark):
     got = ev.ndcg_by_date(df, "s", "g", 3).collect()[0].ndcg
     d = [1 / np.log2(i + 2) for i in range(3)]
     assert got == pytest.approx((2 * d[0] + 2 * d[1] + 2 * d[2]) / (3 * d[0] + 2 * d[1] + 1 * d[2]))
+
+
+@pytest.fixture(params=[0, 150, 1 << 18])
+def sizes(request, monkeypatch):
+    """All dates cut into ranges, the largest one alone, and none."""
+    monkeypatch.setattr(xs, "GROUP_ROWS", request.param)
+    monkeypatch.setattr(xs, "RANGE_ROWS", 7)
+
+
+def test_dates_of_every_size_agree(spark, sizes):
+    df, want = panel(spark).unionByName(spark.createDataFrame([(None, "z", 1.0, 1.0)], panel(spark, 1).schema)), plain(panel(spark))
+    ranks, deciles, scores = xs.pct_rank(df, {"x": "rx", "y": "ry"}), xs.decile(df, "y"), xs.winsor_z(df, ["x"])
+    for out, cols in ((ranks, ["rx", "ry"]), (deciles, ["decile"]), (scores, ["x"])):
+        assert {tuple(r) for r in out.where("trade_date IS NULL").select(*cols).collect()} == {(None,) * len(cols)}
+    g = want.groupby("trade_date")
+    want["rx"], want["ry"] = g.x.rank(pct=True), g.y.rank(pct=True)
+    want["decile"] = np.floor(g.y.rank(method="first") * 10 / g.y.transform("count")).clip(upper=9)
+    kept = want.x.clip(g.x.transform(lambda v: v.quantile(0.01)), g.x.transform(lambda v: v.quantile(0.99)))
+    want["x"] = (kept - kept.groupby(want.trade_date).transform("mean")) / kept.groupby(want.trade_date).transform("std")
+    for out, cols in ((ranks, ["rx", "ry"]), (deciles, ["decile"]), (scores, ["x"])):
+        same(out.where("trade_date IS NOT NULL"), want, cols)
+
+
+def test_rows_of_usual_dates_move_once(spark, tmp_path):
+    """Shuffled records of a composite of many factors: the rows once, not once per factor and step."""
+    names = [f"f{i}" for i in range(12)]
+    spark.range(6000).select((F.col("id") % 3).cast("string").alias("trade_date"), F.col("id").cast("string").alias("code"),
+                             *[F.rand(i).alias(n) for i, n in enumerate(names)]).write.parquet(f"{tmp_path}/p")
+    df = xs.composite_score(spark.read.parquet(f"{tmp_path}/p"), {n: 1 for n in names})
+    store = spark._jsparkSession.sparkContext().statusStore()
+    before = {s.stageId() for s in iterate(store.stageList(None))}
+    df.write.format("noop").mode("overwrite").save()
+    moved = sum(s.shuffleWriteRecords() for s in iterate(store.stageList(None)) if s.stageId() not in before)
+    assert moved < 2 * 6000
+
+
+def iterate(seq):
+    return [seq.apply(i) for i in range(seq.size())]
