@@ -51,7 +51,7 @@ def daily_announcements(mapped: DataFrame, kinds: Sequence[str] = (*ANNOUNCEMENT
 
 
 def index_grid(grid: DataFrame, calendar: DataFrame) -> DataFrame:
-    return grid.join(calendar.select("trade_date", F.col("idx").alias("trade_idx")), "trade_date")
+    return grid.join(F.broadcast(calendar.select("trade_date", F.col("idx").alias("trade_idx"))), "trade_date")  # one row per date
 
 
 def _recent(col: str | Column, w: int, how=F.sum) -> Column:
