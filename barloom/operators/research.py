@@ -132,10 +132,11 @@ def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     open_texts = asked.where(F.col("direct").isNull()).select("question_id", "clean")
     met = _grams(open_texts, "clean", (2, 4), "question_id").join(anchors, ["q", "gram"]).select(
         "question_id", (F.col("at") - F.col("inside") + 1).alias("start"), "piece").where(F.col("start") >= 1)
-    sure = met.join(open_texts, "question_id").where(F.substring(F.col("clean"), F.col("start"), F.length("piece")) == F.col("piece"))
+    # texts are sorted and merged: compressed copies look small, but a broadcast would hold them whole in the driver
+    sure = met.join(open_texts.hint("merge"), "question_id").where(F.substring(F.col("clean"), F.col("start"), F.length("piece")) == F.col("piece"))
     best = sure.select("question_id", "piece").distinct().join(known, "piece").groupBy("question_id").agg(
         F.max_by("hit", F.struct(F.length("piece"), "hit")).alias("named"))
-    return asked.join(best, "question_id", "left").select(
+    return asked.join(best.hint("merge"), "question_id", "left").select(
         "question_id", F.coalesce("direct", "named").alias("code"))
 
 
