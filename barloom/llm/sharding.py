@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import Scratch
 
 SHARDS, BUCKETS, ROW_BYTES = 40, 1024, 16
+#: Tasks that handle the bounded tables of (shard, bucket) sums, whatever the session's shuffle partitions are.
+SLICES = 8
 #: Part of an even shard that linked documents may fill while they move, and the room of a shard open to larger groups.
 QUOTA, LEAST_ROOM = 0.95, 0.05
 
@@ -54,7 +56,7 @@ def _swaps(flows: dict[tuple[int, int], int], load: list[int], cap: list[float])
 
 
 def _flows(held: DataFrame) -> dict[tuple[int, int], int]:
-    return {(r["shard"], r["target"]): r["b"] for r in held.groupBy("shard", "target").agg(F.sum("b").alias("b")).collect()}
+    return {(r["shard"], r["target"]): r["b"] for r in held.repartition(SLICES, "target").groupBy("shard", "target").agg(F.sum("b").alias("b")).collect()}
 
 
 def propagate(linked: DataFrame, scratch: Scratch, even: float, shards: int) -> DataFrame:
@@ -77,8 +79,9 @@ def propagate(linked: DataFrame, scratch: Scratch, even: float, shards: int) ->
                 .withColumn("moves", (F.col("target") != F.col("shard")) & (F.struct("top.n", "top.t") > F.struct("own_n", F.xxhash64("g", "shard"))))
                 .withColumn("bucket", F.when(F.col("whole") > even / 8, bucket("g", "rid")).otherwise(bucket("g"))))
         wish = scratch.keep(wish.select(*columns, "target", "moves", "bucket"), f"wish_{i}")
-        by_source = scratch.keep(wish.where("moves").groupBy("shard", "target", "bucket").agg(F.sum("size").alias("b")), f"moves_{i}")
-        held = by_source.groupBy("target", "bucket").agg(F.sum("b").alias("b"))
+        by_source = wish.where("moves").groupBy("shard", "target", "bucket").agg(F.sum("size").alias("b"))
+        by_source = scratch.keep(by_source.repartition(SLICES, "target"), f"moves_{i}")
+        held = by_source.repartition(SLICES, "target").groupBy("target", "bucket").agg(F.sum("b").alias("b"))
         wanted, aim, bound = _flows(by_source), cap, [max(even, x) for x in load]
         for attempt in range(8):
             may = _swaps(wanted, load, aim) if swapping and attempt < 7 else room
@@ -147,7 +150,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     linked = propagate(facts.where("linked"), scratch, even, shards)
     # whatever lies over an even part is dealt again, whole groups where they are small
     linked = linked.withColumn("bucket", F.when(F.col("whole") > even / 8, bucket("g", "rid")).otherwise(bucket("g")))
-    stays = scratch.keep(_admitted(linked.groupBy("shard", "bucket").agg(F.sum("size").alias("b")), "shard", [int(even)] * shards).withColumn("stays", F.lit(True)), "stays")
+    stays = scratch.keep(_admitted(linked.groupBy("shard", "bucket").agg(F.sum("size").alias("b")).repartition(SLICES, "shard"), "shard", [int(even)] * shards).withColumn("stays", F.lit(True)), "stays")
     judged = scratch.keep(linked.join(F.broadcast(stays), ["shard", "bucket"], "left").drop("bucket"), "judged")
     settled = judged.where("stays").drop("stays")
     pool = facts.where("NOT linked").unionByName(judged.where("stays IS NULL").drop("stays"))
