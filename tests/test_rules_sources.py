@@ -200,3 +200,25 @@ def test_range_query_scans_all_codes(spark, tmp_path):
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.code for r in catalog.QUERIES["bars_s05_range"](spark, str(tmp_path)).collect()} == {"000001", "000002", "000007"}
+
+
+def test_texts_are_not_broadcast(spark):
+    asks = spark.createDataFrame([(i, f"what of firm {'abcdefgh'[i % 8]}xyz{i}") for i in range(20)], "question_id long, text string")
+    out = rs.match_names(asks, spark.createDataFrame([("000001", "firm axyz"), ("000002", "firm bxyz")], "code string, name string"))
+    assert out.where("code IS NOT NULL").count() > 0
+    out.collect()
+    assert "BroadcastHashJoin [question_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_indicators_need_no_long_frames(spark):
+    rows = [("000001", dt.date(2024, 1, 1) + dt.timedelta(days=i), 9.0 + i % 7, 11.0 + i % 7, 8.0 + i % 5, 10.0 + i % 7, 100.0 + i) for i in range(300)]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, open double, high double, low double, close double, volume double")
+    out = tc.technical_inputs(bars)
+    assert "-249" not in out._jdf.queryExecution().executedPlan().toString()
+    got, closes = out.first(), [r[5] for r in rows]
+    assert got.n == 300 and got.close == closes[-1] and got.trade_date == rows[-1][1]
+    for w in (5, 10, 20, 60, 250):
+        assert got[f"ma{w}"] == pytest.approx(sum(closes[-w:]) / w)
+    moves = [b - a for a, b in zip(closes[-15:-1], closes[-14:])]
+    assert got.gain == pytest.approx(sum(max(m, 0) for m in moves) / 14) and got.loss == pytest.approx(sum(max(-m, 0) for m in moves) / 14)
+    assert tc.technical_inputs(bars.limit(3)).first().ma5 is None

@@ -171,3 +171,16 @@ def test_bars_close_once_and_late_ticks_are_defined(spark, tmp_path):
     assert land(closes=[26]) == [(5, 0.5, 5.0, 5.0)]
     assert land([(23.7, 9.0)]) == [(5, 0.5, 5.0, 5.0)]  # after the close: dropped
     assert land(closes=[50]) == [(5, 0.5, 5.0, 5.0), (6, 4.0, 4.0, 1.0)]
+
+
+def test_wide_rows_of_the_training_panel_do_not_move(spark):
+    import datetime
+
+    from barloom.plans.training_panel import training_panel
+    rows = [(c, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), *[10.0 + (i * k) % 11 for k in (1, 2, 3, 4)], 100.0 + i, 1000.0)
+            for k, c in enumerate(("000001", "000002")) for i in range(60)]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, open double, high double, low double, close double, volume double, amount double")
+    panel, _ = training_panel(bars, names=["MA5", "RET5"], horizons=(5,), label_horizon=5, warmup=10, min_rows=20, propagation=False)
+    plan = panel._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join")
+    assert panel.count() == 2 * (60 - 10 - 5) and panel.where("label IS NULL OR MA5 = 0").count() == 0
