@@ -127,14 +127,15 @@ def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select(F.col("code").alias("hit"), comparable_name("name").alias("piece")).where(F.length("piece") >= 2)
     own = _grams(known.select("piece").distinct(), "piece", (2, 4), "piece").where(F.col("q") == F.when(F.length("piece") < 4, 2).otherwise(4))
     held = own.groupBy("q", "gram").agg(F.count("*").alias("names"))
-    rarest = own.join(held, ["q", "gram"]).groupBy("piece").agg(F.min(F.struct("names", "at", "q", "gram")).alias("a"))
+    rarest = own.join(held.hint("merge"), ["q", "gram"]).groupBy("piece").agg(F.min(F.struct("names", "at", "q", "gram")).alias("a"))
     anchors = rarest.select("piece", F.col("a.q").alias("q"), F.col("a.gram").alias("gram"), F.col("a.at").alias("inside"))
     open_texts = asked.where(F.col("direct").isNull()).select("question_id", "clean")
-    met = _grams(open_texts, "clean", (2, 4), "question_id").join(anchors, ["q", "gram"]).select(
+    met = _grams(open_texts, "clean", (2, 4), "question_id").join(anchors.hint("merge"), ["q", "gram"]).select(
         "question_id", (F.col("at") - F.col("inside") + 1).alias("start"), "piece").where(F.col("start") >= 1)
-    # texts are sorted and merged: compressed copies look small, but a broadcast would hold them whole in the driver
+    # all sides are sorted and merged: pieces and texts compress so well that they look small, but a broadcast would
+    # hold them whole in the driver
     sure = met.join(open_texts.hint("merge"), "question_id").where(F.substring(F.col("clean"), F.col("start"), F.length("piece")) == F.col("piece"))
-    best = sure.select("question_id", "piece").distinct().join(known, "piece").groupBy("question_id").agg(
+    best = sure.select("question_id", "piece").distinct().join(known.hint("merge"), "piece").groupBy("question_id").agg(
         F.max_by("hit", F.struct(F.length("piece"), "hit")).alias("named"))
     return asked.join(best.hint("merge"), "question_id", "left").select(
         "question_id", F.coalesce("direct", "named").alias("code"))
