@@ -46,3 +46,8 @@ def test_no_cross_joins_and_no_python(spark, name):
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = entry.queries()["eval_t01_topk_rows"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_factor_means_do_not_explode_the_frame(spark):
+    plan = entry.queries()["factor_full_frame"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators.factors import (
-    BEAR, BULL, FAMILIES, ROBUST, WINDOWS, factor_frame, factor_names, feature_set, latest_factors, register_factor)
+    BEAR, BULL, FAMILIES, ROBUST, WINDOWS, factor_frame, factor_names, feature_set, latest_factors, newest_factors, register_factor)
+from barloom.operators.rolling import RollingBlocks
 
 EPS = 1e-12
 NAN = float("nan")
@@ -164,3 +165,40 @@ def test_feature_sets(kind, size):
 def test_robust_leaves_out_unstable_families():
     assert not any(n.startswith(("ILLIQ", "STD", "BETA", "RSQR")) for n in ROBUST)
     assert set(ROBUST) < set(BEAR) and len(set(BULL)) == 18 and len(FAMILIES) == 41
+
+
+def test_rows_that_are_not_wanted_only_feed_the_windows(spark):
+    rows = make_bars(60, holes=False) + make_bars(40, 7, "000002", holes=False)
+    bars = spark.createDataFrame(rows, SCHEMA).withColumn("some", F.dayofmonth("trade_date") % 3 == 0)
+    names = ["MA5", "RESI5", "RESI20", "RANK20", "ROC10", "IMAX20", "KMID", "CORR20"]
+    whole = factor_frame(bars, names=names, keep=["some"]).where("some").drop("some").orderBy("code", "trade_date").collect()
+    for few in (False, True):
+        got = factor_frame(bars, names=names, only="some", few=few)
+        assert got.columns == ["code", "trade_date", *names]
+        assert got.orderBy("code", "trade_date").collect() == whole
+
+
+def test_newest_factors_are_the_latest_of_the_frame(spark):
+    rows = make_bars(60, holes=False) + make_bars(30, 7, "000002", holes=False)
+    rows += [("000003", None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), ("000002", None, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0)]
+    bars = spark.createDataFrame(rows, SCHEMA)
+    names = ["MA5", "RESI20", "RANK20", "ROC10", "KMID"]
+    slow = latest_factors(factor_frame(bars, names=names)).orderBy("code").collect()
+    fast = newest_factors(bars, names=names)
+    assert fast.orderBy("code").collect() == slow and len(slow) == 3
+    assert "max_by" not in fast._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_residuals_keep_no_longer_windows_than_they_need(spark):
+    df = spark.createDataFrame([("a", i, i + 1, float(i * i % 7), float(i % 5)) for i in range(30)], "code string, trade_date int, row_no int, x double, y double")
+    blocks = RollingBlocks(means=["x", "y"], upto={"x": 5, "y": 10})
+    sizes = {}
+
+    def look(level, w):
+        sizes[w] = level.select(F.size(f"first{w}").alias("n")).first()["n"]
+        return level.withColumn(f"q{w}", F.expr(blocks.ref("q", "y", w)))
+
+    got = blocks.add(df, (5, 10), after_level=look).orderBy("trade_date").collect()
+    assert sizes == {5: 2, 10: 1}
+    y = np.array([i % 5 for i in range(30)], dtype=float)
+    np.testing.assert_allclose([r["q10"] for r in got[9:]], [((y[i - 9:i + 1] - y[i - 9:i + 1].mean()) ** 2).sum() for i in range(9, 30)])
