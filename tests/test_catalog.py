@@ -51,3 +51,8 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 def test_factor_means_do_not_explode_the_frame(spark):
     plan = entry.queries()["factor_full_frame"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_means_of_the_full_panel_share_one_vector(spark):
+    plan = entry.queries()["panel_b02_full_training_set"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("avg(") < 50
