@@ -143,3 +143,17 @@ def test_rows_of_usual_dates_move_once(spark, tmp_path):
     assert len(df.collect()) == 600
     ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert ran.count("Exchange hashpartitioning") <= 3
+
+
+def test_composite_with_given_sizes_reads_an_input_that_is_not_stored(spark, monkeypatch):
+    monkeypatch.setattr("barloom.operators.cross_section.GROUP_ROWS", 30)
+    rows = [(f"{c:03d}", d, float((c * 37 + k * 11) % 101), float((c * c + k) % 53)) for k, d in enumerate(("a", "b", None)) for c in range(20 + 30 * (k == 1))]
+    df = spark.createDataFrame(rows, "code string, trade_date string, x double, y double")
+    sizes = df.groupBy("trade_date").agg(F.count("*").alias("rows"))
+    signs = {"x": 1, "y": -1}
+    plain = {(r["code"], r["trade_date"]): r["score"] for r in xs.composite_score(df, signs).collect()}
+    given = {(r["code"], r["trade_date"]): r["score"] for r in xs.composite_score(df, signs, sizes=sizes).collect()}
+    assert given.keys() == plain.keys() and len(plain) == 90
+    for k, v in plain.items():
+        assert (v is None and given[k] is None) or abs(v - given[k]) < 1e-9
+    assert {v for (_, d), v in given.items() if d is None} == {0.0}
